@@ -6,14 +6,16 @@ Names are 64-bit values made from the contents alone, so that all executors give
 shuffle is needed to agree on them.  With each symbol goes its context: the words that fix where the symbol starts and ends.
 Equal stretches of words get equal symbols wherever the context lies within the stretch.
 
-1. Each window of `width` words takes as its symbol the least name whose context lies inside the window.  Names seen at
-   more than one place are shared (first exchange).  A window whose symbol is not shared occurs once.  Windows without a
-   symbol of their own (deep repetitions) count as shared.
-2. The windows that are left are verified by 128-bit hashes of their words (second exchange): of each hash the first
-   place, by (doc_id, place), stays, and the words of the others go.
+1. Each window of `width` words takes as its symbol the least name whose context lies inside the window.  Neighbouring
+   windows with the same symbol are one entry, which carries the symbol and a hash of all its words.  In the first
+   exchange entries meet by symbol.  Windows of an entry whose symbol occurs nowhere else occur once.  Of entries equal as
+   a whole the first, by (doc_id, place), stays and the windows of the others go.  Entries that have the symbol in common
+   but differ are open, as are windows without a symbol of their own (deep repetitions).
+2. Open windows are verified one by one by 128-bit hashes of their words (second exchange): of each hash the first place
+   stays, and the words of the others go.
 
-Both exchanges carry packed arrays.  A task sends one entry of a name for its whole block, and the rest of a name's
-entries, already known to be shared, under a bucket drawn from their place, so that a common passage burdens no one bucket.
+Both exchanges carry packed arrays.  Of equal entries a task sends the first of its block; the others, already known to go,
+travel under a bucket drawn from their place, so that a common passage burdens no one bucket.
 
 Defined results: a null or empty text has no words and keeps the empty text; a null doc_id comes after all others; rows
 with the same doc_id and text are one document and get the same result; rows with the same doc_id and another text are
@@ -37,8 +39,9 @@ _U = np.uint64
 _A, _B, _RUN = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
 _LEFT, _RIGHT = Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F)
 _FAR = 1 << 60
-NOTICE, PLAIN, KNOWN = 0, 1, 2
-_BLOBS = "bucket int, names binary, more binary, doc binary, at binary, n binary, kind binary, ids binary, digests binary"
+#: An entry is a run of windows: gone for certain, open (to be verified window by window), or asking; asking entries may be open in any case.
+GONE, OPEN, ASK, ASK_OPEN = 0, 1, 2, 3
+_BLOBS = "bucket int, lefts binary, rights binary, doc binary, at binary, n binary, kind binary, ids binary, digests binary"
 _BLOB_COLUMNS = [x.split()[0] for x in _BLOBS.split(", ")]
 
 
@@ -82,7 +85,7 @@ def symbols(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[n
 
 
 def least_names(words: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each window (a window starts at each word that has width - 1 more in its document): its start, its least name, and whether it has one; then the names that are at more than one place."""
+    """For each window (a window starts at each word that has width - 1 more in its document): its start, its least name, and whether it has one; then the names that come again within two widths."""
     n = len(words)
     if n < width:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64)
@@ -101,53 +104,76 @@ def least_names(words: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndar
         if len(level) <= span:
             break
         level, span = np.minimum(level[:-span], level[span:]), span * 2
-    name = np.sort(name)
-    return window, best, some, np.unique(name[1:][name[1:] == name[:-1]])
+    order = np.argsort(name, kind="stable")
+    name, first = name[order], first[order]
+    return window, best, some, np.unique(name[1:][(name[1:] == name[:-1]) & (first[1:] - first[:-1] <= 2 * width)])
 
 
-def window_hashes(words: np.ndarray, window: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for powers, salt in ((_LEFT, _A), (_RIGHT, _B)):
-        up, down = powers.of(len(words) + 1)
-        total = np.zeros(len(words) + 1, dtype=np.uint64)
-        np.cumsum(mix(words + salt) * up[:-1], out=total[1:])
-        out.append(mix((total[window + width] - total[window]) * down[window]))
-    return out[0], out[1]
+def span_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+    """The hash, of two, of the words from start to end."""
+    powers, salt = ((_LEFT, _A), (_RIGHT, _B))[which]
+    up, down = powers.of(len(words) + 1)
+    total = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(mix(words + salt) * up[:-1], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def pack(buckets: int, name, more, doc, at, n, kind, ids, digests):
-    """Entries as one row of packed arrays for each bucket that has some; kind KNOWN goes by place, else by name."""
-    name, kind = name.astype(np.uint64, copy=False), kind.astype(np.uint8, copy=False)
-    by = np.where(kind == KNOWN, mix(digests[doc].view(np.uint64) + (at >> 6).astype(np.uint64)), name if more is None else more)
+def pack(buckets: int, left, right, doc, at, n, kind, ids, digests):
+    """Entries as one row of packed arrays for each bucket that has some.  Asking entries go by left; the others, which need no hashes, by place."""
+    asks = kind >= ASK
+    left, right = np.where(asks, left, _U(0)), np.where(asks, right, _U(0))
+    by = np.where(asks, left, digests[doc].view(np.uint64) + (at >> 6).astype(np.uint64))
     bucket = (mix(by ^ _RUN) % _U(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((at, doc, bucket))  # neighbours in a text stay neighbours, which compresses
     bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    columns = [left, right, None, at.astype(np.uint32), n.astype(np.uint16), kind.astype(np.uint8)]
     rows = []
     for b in np.flatnonzero(np.diff(bounds)):
         i = order[bounds[b] : bounds[b + 1]]
         used, local = np.unique(doc[i], return_inverse=True)
-        rows.append((int(b), name[i].tobytes(), b"" if more is None else more[i].tobytes(), local.astype(np.uint32).tobytes(), at[i].astype(np.uint32).tobytes(), b"" if n is None else n[i].astype(np.uint32).tobytes(), kind[i].tobytes(), ids[used].tobytes(), digests[used].tobytes()))
+        local_of = local.astype(np.uint16 if len(used) <= 65536 else np.uint32)
+        rows.append((int(b), *[local_of.tobytes() if k == 2 else c[i].tobytes() for k, c in enumerate(columns)], ids[used].tobytes(), digests[used].tobytes()))
     types = [pa.int32()] + [pa.binary()] * 8
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, types)], names=_BLOB_COLUMNS)
 
 
 def unpack(t: pa.Table):
-    """Entries of all rows of a bucket: name, more, id, digest, at, n, kind."""
+    """Entries of all rows of a bucket: left, right, id, digest, at, n, kind."""
     get = lambda c, kind: [np.frombuffer(x, dtype=kind) for x in t.column(c).to_pylist()]
-    doc, ids, digests = get("doc", np.uint32), get("ids", np.int64), get("digests", np.int64)
+    ids, digests = get("ids", np.int64), get("digests", np.int64)
+    doc = [np.frombuffer(x, dtype=np.uint16 if len(i) <= 65536 else np.uint32) for x, i in zip(t.column("doc").to_pylist(), ids)]
     flat = lambda c, kind: np.concatenate(get(c, kind))
-    return flat("names", np.uint64), flat("more", np.uint64), np.concatenate([i[d] for i, d in zip(ids, doc)]), np.concatenate([g[d] for g, d in zip(digests, doc)]), flat("at", np.uint32), flat("n", np.uint32), flat("kind", np.uint8)
+    return flat("lefts", np.uint64), flat("rights", np.uint64), np.concatenate([i[d] for i, d in zip(ids, doc)]), np.concatenate([g[d] for g, d in zip(digests, doc)]), flat("at", np.uint32), flat("n", np.uint16), flat("kind", np.uint8)
 
 
-def _by_document(ids, digests, at, n):
-    """One row for each document: its places, and the number of windows at each."""
+def _by_document(ids, digests, at, n, kind):
+    """One row for each document: the runs of windows that go, and those still to be verified."""
     order = np.lexsort((at, digests, ids))
-    ids, digests, at, n = ids[order], digests[order], at[order], n[order]
-    new = np.ones(len(ids), dtype=bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (digests[1:] != digests[:-1])
-    start = np.flatnonzero(new)
+    ids, digests, at, n, kind = ids[order], digests[order], at[order], n[order], kind[order]
+    start = np.flatnonzero(_new(ids, digests))
     end = np.append(start[1:], len(ids))
-    return pa.Table.from_arrays([pa.array(ids[start]), pa.array(digests[start]), pa.array([np.stack([at[a:b], n[a:b]]).tobytes() for a, b in zip(start, end)], pa.binary())], names=["id", "digest", "places"])
+
+    def runs(which: int):
+        return pa.array([np.stack([at[a:b][k], n[a:b].astype(np.uint32)[k]]).tobytes() if (k := kind[a:b] == which).any() else None for a, b in zip(start, end)], pa.binary())
+
+    return pa.Table.from_arrays([pa.array(ids[start]), pa.array(digests[start]), runs(GONE), runs(OPEN)], names=["id", "digest", "gone", "open"])
+
+
+def _new(*columns) -> np.ndarray:
+    """Where a row differs from the one before."""
+    out = np.ones(len(columns[0]), dtype=bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def _first_places(left, right, ids, digests, at):
+    """For the entries in order of (left, right, place): that order; which are first of their hashes; which have the first's place."""
+    order = np.lexsort((at, digests, ids, right, left))
+    new = _new(left[order], right[order])
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+    same = (ids[order] == ids[first]) & (digests[order] == digests[first]) & (at[order] == at[first])
+    return order, new, same
 
 
 def _block(t: pa.Table):
@@ -165,101 +191,108 @@ def _send_names(width: int, buckets: int):
             if not len(window):
                 continue
             # neighbouring windows with the same name are one entry
-            new = np.ones(len(window), dtype=bool)
-            new[1:] = (name[1:] != name[:-1]) | (some[1:] != some[:-1]) | (window[1:] != window[:-1] + 1)
+            new = _new(name, some, doc[window], (window - np.arange(len(window))))
+            new[:: 1 << 15] = True
             start = np.flatnonzero(new)
             n = np.diff(np.append(start, len(window)))
             name, some, window = name[start], some[start], window[start]
+            whole = span_hashes(words, window, window + n + (width - 1), 0)
             d = doc[window]
             at = window - bounds[d]
-            shared = np.isin(name, twice)
-            kind = np.where(~some | shared, KNOWN, PLAIN)
-            seen = np.flatnonzero(some & shared)
-            rep = seen[np.unique(name[seen], return_index=True)[1]]
-            yield pack(buckets, np.append(name, name[rep]), None, np.append(d, d[rep]), np.append(at, at[rep]), np.append(n, n[rep]), np.append(kind, np.full(len(rep), NOTICE)), ids, digests)
+            order, first, same = _first_places(name, whole, ids[d], digests[d], at)
+            kind = np.empty(len(name), dtype=np.uint8)
+            kind[order] = np.where(first, ASK, GONE)
+            kind[(kind == ASK) & np.isin(name, twice)] = ASK_OPEN
+            kind[~some] = OPEN
+            keep = np.ones(len(name), dtype=bool)
+            keep[order] = first | ~same | ~some[order]
+            yield pack(buckets, name[keep], whole[keep], d[keep], at[keep], n[keep], kind[keep], ids, digests)
 
     return run
 
 
-def _shared(t: pa.Table) -> pa.Table:
-    name, _, ids, digests, at, n, kind = unpack(t)
-    asked = kind != KNOWN
-    _, back, count = np.unique(name[asked], return_inverse=True, return_counts=True)
-    keep = kind == KNOWN
-    keep[np.flatnonzero(asked)] = (count[back] > 1) & (kind[asked] == PLAIN)
-    return _by_document(ids[keep], digests[keep], at[keep], n[keep])
+def _settle_names(t: pa.Table) -> pa.Table:
+    """Of entries equal as a whole the first stays, and is open if there are others of its name; the later ones go."""
+    name, whole, ids, digests, at, n, kind = unpack(t)
+    asked = np.flatnonzero(kind >= ASK)
+    order, first, same = _first_places(name[asked], whole[asked], ids[asked], digests[asked], at[asked])
+    order = asked[order]
+    _, back, distinct = np.unique(name[order][first], return_inverse=True, return_counts=True)
+    out = kind.copy()
+    out[order] = np.where(first | same, 255, GONE)
+    heads = order[first]
+    out[heads[(distinct[back] > 1) | (kind[heads] == ASK_OPEN)]] = OPEN
+    keep = out != 255
+    return _by_document(ids[keep], digests[keep], at[keep], n[keep], out[keep])
 
 
-def _places(packed: list[bytes]) -> np.ndarray:
-    """All windows that the packed rows of a document name."""
-    both = [np.frombuffer(x, dtype=np.uint32).reshape(2, -1).astype(np.int64) for x in packed]
-    at, n = np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both])
-    return np.unique(np.repeat(at - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())))
+def _runs(packed: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    both = [np.frombuffer(x, dtype=np.uint32).reshape(2, -1).astype(np.int64) for x in packed if x]
+    return (np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both])) if both else (np.zeros(0, np.int64),) * 2
+
+
+def _each(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All windows of some runs."""
+    return np.unique(np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))
+
+
+def _joined(ids, digests, doc, at):
+    """Windows in order of (doc, at) as runs of neighbours of at most 2**15: doc, at, n."""
+    new = _new(doc, at - np.arange(len(at)))
+    new[:: 1 << 15] = True
+    start = np.flatnonzero(new)
+    return doc[start], at[start], np.diff(np.append(start, len(at)))
 
 
 def _send_windows(width: int, buckets: int):
     def run(batches):
         for t in chunks(batches, "text", 4 << 20):
             words, bounds, doc, ids, digests = _block(t)
-            window = np.concatenate([_places(p) + bounds[i] for i, p in enumerate(t.column("places").to_pylist())])
-            left, right = window_hashes(words, window, width)
+            window = np.concatenate([_each(*_runs(p)) + bounds[i] for i, p in enumerate(t.column("open").to_pylist())])
+            left, right = (span_hashes(words, window, window + width, k) for k in (0, 1))
             d = doc[window]
             at = window - bounds[d]
-            order = np.lexsort((at, digests[d], ids[d], right, left))
-            left, right, d, at = left[order], right[order], d[order], at[order]
-            new = np.ones(len(left), dtype=bool)
-            new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            again = (ids[d] == ids[d[first]]) & (digests[d] == digests[d[first]]) & (at == at[first])
-            kind = np.where(new, PLAIN, KNOWN)
-            keep = new | ~again
-            yield pack(buckets, left[keep], right[keep], d[keep], at[keep], None, kind[keep], ids, digests)
+            order, first, same = _first_places(left, right, ids[d], digests[d], at)
+            asks = np.sort(order[first])
+            later = np.sort(order[~same])
+            gone = [_joined(ids, digests, d[later], at[later])]
+            for i, p in enumerate(t.column("gone").to_pylist()):
+                a, n = _runs(p)
+                gone.append((np.full(len(a), i), a, n))
+            gd, ga, gn = (np.concatenate(x) for x in zip(*gone))
+            zero = np.zeros(len(gd), np.uint64)
+            yield pack(buckets, np.append(left[asks], zero), np.append(right[asks], zero), np.append(d[asks], gd), np.append(at[asks], ga), np.append(np.ones(len(asks), np.int64), gn), np.repeat([ASK, GONE], [len(asks), len(gd)]), ids, digests)
 
     return run
 
 
-def _later(t: pa.Table) -> pa.Table:
-    left, right, ids, digests, at, _, kind = unpack(t)
-    asked = np.flatnonzero(kind == PLAIN)
-    order = asked[np.lexsort((at[asked], digests[asked], ids[asked], right[asked], left[asked]))]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (left[order][1:] != left[order][:-1]) | (right[order][1:] != right[order][:-1])
-    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    again = (ids[order] == ids[first]) & (digests[order] == digests[first]) & (at[order] == at[first])
-    keep = kind == KNOWN
-    keep[order[~again]] = True
-    # neighbouring windows are one entry
-    ids, digests, at = ids[keep], digests[keep], at[keep].astype(np.int64)
-    order = np.lexsort((at, digests, ids))
-    ids, digests, at = ids[order], digests[order], at[order]
-    new = np.ones(len(at), dtype=bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (digests[1:] != digests[:-1]) | (at[1:] != at[:-1] + 1)
-    start = np.flatnonzero(new)
-    n = np.diff(np.append(start, len(at)))
-    return _by_document(ids[start], digests[start], at[start].astype(np.uint32), n.astype(np.uint32))
+def _settle_windows(t: pa.Table) -> pa.Table:
+    """Of equal windows the first stays, and the later ones go."""
+    left, right, ids, digests, at, n, kind = unpack(t)
+    asked = np.flatnonzero(kind == ASK)
+    order, _, same = _first_places(left[asked], right[asked], ids[asked], digests[asked], at[asked])
+    keep = kind == GONE
+    keep[asked[order[~same]]] = True
+    return _by_document(ids[keep], digests[keep], at[keep], n[keep], np.full(int(keep.sum()), GONE))
 
 
 def _cover(width: int):
     def run(batches):
         for t in chunks(batches, "text", 4 << 20):
-            texts = t.column("text").to_pylist()
-            places = t.column("places").to_pylist()
             total, removed, kept = [], [], []
-            for text, p in zip(texts, places):
+            for text, p in zip(t.column("text").to_pylist(), t.column("gone").to_pylist()):
                 words = (text or b"").split()
                 total.append(len(words))
-                gone = 0
-                if p:
-                    at = _places(p)
-                    cover = np.zeros(len(words) + 1, dtype=np.int64)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + width, -1)
+                lost = 0
+                at, n = _runs(p or [])
+                if len(at):
+                    cover = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + n + (width - 1), minlength=len(words) + 1)
                     stay = np.cumsum(cover)[:-1] == 0
-                    gone = len(words) - int(stay.sum())
+                    lost = len(words) - int(stay.sum())
                     words = [words[i] for i in np.flatnonzero(stay)]
-                removed.append(gone)
+                removed.append(lost)
                 kept.append(b" ".join(words))
-            t = t.drop_columns(["text", "places"])
+            t = t.drop_columns(["text", "gone"])
             for name, x, kind in (("n_words", total, pa.int64()), ("n_removed", removed, pa.int64()), ("kept", kept, pa.binary())):
                 t = t.append_column(name, pa.array(x, kind))
             yield from t.to_batches()
@@ -267,7 +300,7 @@ def _cover(width: int):
     return run
 
 
-_GROUPED = "id long, digest long, places binary"
+_GROUPED = "id long, digest long, gone binary, open binary"
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -280,15 +313,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keyed = docs.select(F.col(key_id).alias("id"), F.col(digest).alias("digest"), text.cast("binary").alias("text"))
 
     names = keyed.mapInArrow(_send_names(width, buckets), _BLOBS)
-    shared = names.groupBy("bucket").applyInArrow(_shared, _GROUPED).groupBy("id", "digest").agg(F.collect_list("places").alias("places"))
-    windows = keyed.join(shared, ["id", "digest"]).mapInArrow(_send_windows(width, buckets), _BLOBS)
-    later = windows.groupBy("bucket").applyInArrow(_later, _GROUPED).groupBy("id", "digest").agg(F.collect_list("places").alias("places"))
-    later = cut(later)
+    settled = names.groupBy("bucket").applyInArrow(_settle_names, _GROUPED).groupBy("id", "digest").agg(F.collect_list("gone").alias("gone"), F.collect_list("open").alias("open"))
+    windows = keyed.join(settled, ["id", "digest"]).mapInArrow(_send_windows(width, buckets), _BLOBS)
+    later = windows.groupBy("bucket").applyInArrow(_settle_windows, _GROUPED).groupBy("id", "digest").agg(F.collect_list("gone").alias("gone"))
 
     outs = {c: fresh(docs, c) for c in ("n_words", "n_removed", "kept_text")}
     rest = [c for c in docs.columns if c not in (text_col, key_id, digest)]
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.col(key_id).alias("id"), F.col(digest).alias("digest"), F.col(text_col).cast("binary").alias("text"))
-    joined = plain.join(later, ["id", "digest"], "left").select(*[f"c{i}" for i in range(len(rest))], "text", "places")
+    joined = plain.join(cut(later), ["id", "digest"], "left").select(*[f"c{i}" for i in range(len(rest))], "text", "gone")
     kinds = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)]
     done = joined.mapInArrow(_cover(width), ", ".join([*kinds, "n_words long, n_removed long, kept binary"]))
     return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], F.col("n_words").alias(outs["n_words"]), F.col("n_removed").alias(outs["n_removed"]), F.col("kept").cast("string").alias(outs["kept_text"]))
