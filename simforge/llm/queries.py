@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["substring"]
+MODULES = ["toxicity", "substring", "media", "sharding", "mixing"]
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
