@@ -6,7 +6,8 @@ Names are 64-bit values made from the contents alone, so that all executors give
 shuffle is needed to agree on them.  With each symbol goes its context: the words that fix where the symbol starts and ends.
 Equal stretches of words get equal symbols wherever the context lies within the stretch.
 
-1. Each window of `width` words takes as its symbol the least name whose context lies inside the window.  Neighbouring
+1. Each window of `width` words takes as its symbol the least name, hashed together with the words of its context, whose
+   context lies inside the window.  Neighbouring
    windows with the same symbol are one entry, which carries the symbol and a hash of all its words.  In the first
    exchange entries meet by symbol.  Windows of an entry whose symbol occurs nowhere else occur once.  Of entries equal as
    a whole the first, by (doc_id, place), stays and the windows of the others go.  Entries that have the symbol in common
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from simforge.llm.common import NULL_ID, Powers, chunks, cut, fresh, mix, partitions, table, words_of
 
 WIDTH = 20
-ROUNDS = 3
+ROUNDS = 2
 _U = np.uint64
 _A, _B, _RUN = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
 _LEFT, _RIGHT = Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F)
@@ -93,6 +94,7 @@ def least_names(words: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndar
     name, first, after = symbols(words, doc)
     fits = (after - first <= width) & (first >= 0) & (after <= n)
     name, first, after = name[fits], first[fits], after[fits]
+    name = mix(name ^ span_hashes(words, first, after, 1))  # short symbols recur by chance; with their contexts they don't
     low = np.searchsorted(first, window)
     high = np.searchsorted(after, window + width, side="right")
     some = high > low
