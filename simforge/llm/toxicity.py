@@ -4,8 +4,8 @@ Each labelled sentence that names an identity term is written again with the ter
 loss adds `swap_penalty` times the squared change of the logit, so that a neutral mention of a group moves no score.
 
 The fit takes at most `max_rows` labelled rows, those with the least hash of the id (a bounded sample, as a parameter).
-Features are chosen over that sample by a distributed count of documents per class; the `n_features` chosen ones and the
-sample's rows of chosen features go to the driver, both bounded by parameters.  Every whole text is scored.
+Features are chosen over that sample by a distributed count of documents per class: those whose shares in the two classes
+are at least `min_z` standard deviations apart.  The `n_features` chosen ones and the sample's rows of chosen features go to the driver, both bounded by parameters.  Every whole text is scored.
 
 Defined results: a null or empty text gets the score of a text without features; a null id belongs to the rows with the
 remainder of the empty text; labels that are null are not learnt from, and of several labels of one id the largest holds;
@@ -45,9 +45,10 @@ class Settings:
     max_rows: int = 20_000
     n_features: int = 8_192
     min_docs: int = 4
-    ridge: float = 1e-4
+    min_z: float = 4.0
+    ridge: float = 1e-6
     swap_penalty: float = 1.0
-    steps: int = 400
+    steps: int = 800
     threshold: float = 0.7
     identity: tuple = IDENTITY
 
@@ -172,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
         p0, p1 = (F.col("n0") + 0.5) / (n0 + 1), (F.col("n1") + 0.5) / (n1 + 1)
         p = (F.col("n0") + F.col("n1") + 1.0) / (n0 + n1 + 2)
         far = F.abs(p1 - p0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
-        top = counts.where(F.col("n0") + F.col("n1") >= s.min_docs).select("f").orderBy(far.desc(), "f").limit(s.n_features)
+        top = counts.where((F.col("n0") + F.col("n1") >= s.min_docs) & (far >= s.min_z)).select("f", "n0", "n1").orderBy(far.desc(), "f").limit(s.n_features)
         names = [r["f"] for r in top.collect()]
         names += sorted({f for g in s.identity for t in g for f in features_of(t)} - set(names))
         got = rows.mapInArrow(_rows({f: i for i, f in enumerate(names)}, s.identity), "y int, x binary, pairs array<binary>").toArrow()
