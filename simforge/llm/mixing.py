@@ -26,8 +26,9 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 SEED = 4_021
-#: Budget that the dynamic program fills at most, in units of the longest free length.
+#: Budget left to the dynamic program: units of the longest length, and words at least; rounding down adds one unit at most.
 RESERVE = 4
+EXACT = 1 << 16
 
 
 def n_words(text: Column) -> Column:
@@ -75,31 +76,17 @@ def choose(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = M
     base = np.where(real, passes, 0)
     if passes == most or not rest:
         return base, more
-    # the same share of each length, but for a reserve
-    longest = int(lengths.max())
-    share = max(0.0, (rest - RESERVE * longest) / total)
-    more[real] = np.floor(counts[real] * share).astype(np.int64)
+    # the same share of each length, but for a reserve; then, longest first, what rounding down has left beyond the reserve
+    reserve = max(RESERVE * int(lengths.max()), EXACT)
+    more[real] = np.floor(counts[real] * max(0.0, (rest - reserve) / total)).astype(np.int64)
     rest -= int((more * lengths).sum())
-    # what rounding down has left, one document of a length at a time, longest first
     for i in np.argsort(-lengths, kind="stable"):
-        spare = rest - RESERVE * longest
-        if spare <= 0 or not lengths[i]:
-            break
-        k = min(int(counts[i] - more[i]), spare // int(lengths[i]), max(1, spare // (total // max(1, int(counts.sum())) * len(lengths) or 1)))
-        more[i] += k
-        rest -= k * int(lengths[i])
-    free = np.where(real, counts - more, 0)
-    while rest > 2 * RESERVE * longest and (free > 0).any():
-        for i in np.argsort(-lengths, kind="stable"):
-            if lengths[i] and (k := min(int(free[i]), (rest - RESERVE * longest) // int(lengths[i]))) > 0:
-                more[i] += k
-                free[i] -= k
-                rest -= k * int(lengths[i])
-        if rest <= 2 * RESERVE * longest or not (free * lengths).sum() > rest:
-            break
-    fits = (free > 0) & real
+        if lengths[i] and (k := min(int(counts[i] - more[i]), (rest - reserve) // int(lengths[i]))) > 0:
+            more[i] += k
+            rest -= k * int(lengths[i])
+    fits = real & (counts > more)
     if rest > 0 and fits.any():
-        more[fits] += subset_sum(lengths[fits], free[fits], rest)
+        more[fits] += subset_sum(lengths[fits], (counts - more)[fits], rest)
     return base, more
 
 

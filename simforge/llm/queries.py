@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["toxicity", "substring", "media", "sharding", "mixing", "html"]
+MODULES = ["toxicity", "substring", "media", "sharding", "mixing", "lm", "html"]
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
