@@ -204,8 +204,10 @@ def _counted(batches):
 def learn(pages: DataFrame, html_col: str = "html", max_pages: int = MAX_PAGES) -> dict[str, dict[str, float]]:
     """Weights from labelled pages; the most frequent MOST_KEYS elements of each kind are kept."""
     marked = F.regexp_like(F.col(html_col), F.lit("(?i)<(article|main)[\\s>]"))
-    sample = pages.select(F.col(html_col).alias("html")).where(marked).withColumn("h", F.xxhash64("html")).orderBy("h").limit(max_pages).select("html")
-    counts = sample.repartition(8, F.xxhash64("html")).mapInArrow(_counted, "kind string, key string, a long, b long").groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    labelled = pages.where(marked).select(F.col(html_col).alias("html"), F.xxhash64(F.col(html_col)).alias("h"))
+    last = labelled.select("h").distinct().orderBy("h").limit(max_pages).agg(F.max("h")).first()[0]  # hashes alone, not pages, meet in one task
+    sample = labelled.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("html").alias("html")).select("html")
+    counts = sample.mapInArrow(_counted, "kind string, key string, a long, b long").groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     rows = counts.orderBy((F.col("a") + F.col("b")).desc(), "kind", "key").limit(2 * MOST_KEYS).collect()
     return weights_of([tuple(r) for r in rows])
 
