@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["toxicity", "substring", "media", "minhash", "sharding", "mixing", "pii", "lm", "html"]
+MODULES = ["toxicity", "substring", "media", "minhash", "decontaminate", "sharding", "mixing", "pii", "lm", "html"]
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
