@@ -6,7 +6,9 @@
    the basis (one power iteration, then Rayleigh-Ritz).  It is fitted on documents drawn by hash, `FIT_PASSAGES` passages
    in expectation (a bounded sample, as a parameter).
 3. Every window of every document, at lengths near those of the items, is compared with all items by the cosine of the
-   whitened latent vectors; what reaches `COSINE` is a candidate.
+   whitened latent vectors; what reaches `COSINE` is a candidate.  Rare words hardly show in the latent space, so that a
+   hundredth of all windows are candidates; those that share few words by weight go at once: the cosine of a random
+   projection of their TF-IDF vectors has to reach `LEXICAL`.
 4. A candidate counts if the longest common subsequence of item and window covers `COVERED` of the item's words, or
    `PARAPHRASE` of them while `ANSWERED` of the answer's words are there (a column of answers, or else the item's rarest
    words).
@@ -30,10 +32,11 @@ from simforge.llm.common import chunks, fresh, table, words_of
 
 TERMS = 1 << 15
 PASSAGE = 32
-DIMENSIONS = 64
+DIMENSIONS = 48
 EXTRA = 16
-FIT_PASSAGES = 400_000
-COSINE = 0.45
+FIT_PASSAGES = 100_000
+SKETCH = 32
+COSINE, LEXICAL = 0.65, 0.45
 COVERED, PARAPHRASE, ANSWERED = 0.8, 0.6, 0.8
 ANSWER_WORDS = 5
 BLOCK = 1024
@@ -68,9 +71,14 @@ def _frequencies(batches):
         words, terms, bounds = _words(t.column("text").to_pylist())
         start = _passages(bounds, PASSAGE)
         if len(start):
-            passage = np.repeat(np.arange(len(start), dtype=np.uint32), np.diff(np.append(start, len(words))))
-            both = np.unique((passage.astype(np.uint64) << _U(15)) | terms.astype(np.uint64))
-            total[:TERMS] += np.bincount((both & _U(TERMS - 1)).astype(np.int64), minlength=TERMS)
+            size = np.diff(np.append(start, len(words)))
+            for a in range(0, len(start), 1 << 16):  # so that passage and term fit into 32 bits
+                b = min(len(start), a + (1 << 16))
+                lo, hi = start[a], start[b] if b < len(start) else len(words)
+                both = np.repeat(np.arange(b - a, dtype=np.uint32) << np.uint32(15), size[a:b]) | terms[lo:hi].astype(np.uint32)
+                both.sort()
+                both = both[np.append(True, both[1:] != both[:-1])]
+                total[:TERMS] += np.bincount(both & np.uint32(TERMS - 1), minlength=TERMS)
             total[TERMS] += len(start)
     yield _parts_of(total)
 
@@ -89,12 +97,21 @@ def _total(rows: DataFrame, kind) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(r["x"], kind) for r in sorted(got, key=lambda r: r["part"])]) if got else None
 
 
+def _sums(vectors: np.ndarray, terms: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """Sums of the terms' vectors over runs of at most width words; vectors has a row of zeros at its end."""
+    size = np.diff(np.append(start, len(terms)))
+    out = vectors[terms[start]]
+    for j in range(1, width):
+        out += vectors[np.where(j < size, terms[np.minimum(start + j, len(terms) - 1)], TERMS)]
+    return out
+
+
 def _gram(test: np.ndarray, idf: np.ndarray):
     """The passages' transposed matrix times their matrix times test."""
     k = test.shape[1]
 
     def run(batches):
-        out, weighted = np.zeros((TERMS, k), np.float32), (test * idf[:, None]).astype(np.float32)
+        out, weighted = np.zeros((TERMS, k)), np.vstack([test * idf[:, None], np.zeros((1, k))]).astype(np.float32)
         some = False
         for t in chunks(batches, "text", 1 << 19):
             words, terms, bounds = _words(t.column("text").to_pylist())
@@ -104,13 +121,14 @@ def _gram(test: np.ndarray, idf: np.ndarray):
             some = True
             size = np.diff(np.append(start, len(words)))
             norm = np.sqrt(np.add.reduceat(idf[terms] ** 2, start)) + 1e-9
-            z = (np.add.reduceat(weighted[terms], start, axis=0) / (norm**2)[:, None]).astype(np.float32)
+            z = (_sums(weighted, terms, start, PASSAGE) / (norm**2)[:, None]).astype(np.float32)
             order = np.argsort(terms.astype(np.uint16), kind="stable")
-            first = np.flatnonzero(np.append(True, np.diff(terms[order]) != 0))
-            u = terms[order][first]
-            out[u] += np.add.reduceat(np.repeat(z, size, axis=0)[order], first, axis=0) * idf[u, None]
+            last = np.flatnonzero(np.append(np.diff(terms[order]) != 0, True))
+            total = np.cumsum(z[np.repeat(np.arange(len(start)), size)[order]], axis=0, dtype=np.float64)[last]
+            u = terms[order][last]
+            out[u] += np.diff(total, axis=0, prepend=0) * idf[u, None]
         if some:
-            yield _parts_of(out.reshape(-1))
+            yield _parts_of(out.astype(np.float32).reshape(-1))
 
     return run
 
@@ -176,37 +194,46 @@ class Item:
         return share if share >= COVERED or share >= PARAPHRASE and answered else 0.0
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / (np.sqrt((x * x).sum(axis=1, keepdims=True)) + 1e-12)
+
+
 def _lengths(longest: int) -> np.ndarray:
-    """Window lengths, each a fourth longer than the one before, in whole cells."""
-    out = [2 * CELL]
+    """Window lengths, each two fifths longer than the one before, in whole cells."""
+    out = [3 * CELL]
     while out[-1] < longest:
-        out.append(-(-int(out[-1] * 1.25 + CELL) // CELL) * CELL)
+        out.append(-(-int(out[-1] * 1.4) // CELL) * CELL)
     return np.array(out)
 
 
 def _search(items: list[Item], vectors: np.ndarray, terms: np.ndarray):
+    """vectors: of the items; terms: of the terms; the first DIMENSIONS columns are latent, the others the random projection."""
+    terms = np.vstack([terms, np.zeros((1, terms.shape[1]), np.float32)])
+    latent, lexical = _unit(vectors[:, :DIMENSIONS]), _unit(vectors[:, DIMENSIONS:])
     lengths = _lengths(max(i.n for i in items))
     of = np.argmin(np.abs(lengths[None] - np.array([i.n for i in items])[:, None]), axis=1)
 
     def run(batches):
-        for t in chunks(batches, "text", 1 << 19):
+        for t in chunks(batches, "text", 1 << 18):
             words, term, bounds = _words(t.column("text").to_pylist())
             found: list[dict[int, float]] = [{} for _ in range(t.num_rows)]
             start = _passages(bounds, CELL)
             if len(start):
                 doc = np.searchsorted(bounds, start, side="right") - 1
-                total = np.zeros((len(start) + 1, terms.shape[1]))
-                np.cumsum(np.add.reduceat(terms[term], start, axis=0), axis=0, out=total[1:])
+                total = np.zeros((len(start) + 1, terms.shape[1]), np.float32)
+                np.cumsum(_sums(terms, term, start, CELL), axis=0, out=total[1:])
                 cell_in_doc = np.arange(len(start)) - np.searchsorted(doc, doc)
                 for scale in np.unique(of):
                     chosen = np.flatnonzero(of == scale)
                     cells, stride = int(lengths[scale]) // CELL, max(1, int(lengths[scale]) // (4 * CELL))
                     at = np.flatnonzero(cell_in_doc % stride == 0)
-                    x = (total[np.minimum(at + cells, len(start))] - total[at]).astype(np.float32)
-                    x /= np.sqrt((x * x).sum(axis=1, keepdims=True)) + 1e-12
-                    for a in range(0, len(at), 1 << 14):
-                        row, col = np.nonzero(x[a : a + (1 << 14)] @ vectors[chosen].T >= COSINE)
-                        for r, c in zip(row.tolist(), chosen[col].tolist()):
+                    x = total[np.minimum(at + cells, len(start))] - total[at]
+                    for a in range(0, len(at), 1 << 13):
+                        y = x[a : a + (1 << 13)]
+                        row, col = np.nonzero(_unit(y[:, :DIMENSIONS]) @ latent[chosen].T >= COSINE)
+                        z = y[row, DIMENSIONS:]
+                        like = np.einsum("ij,ij->i", z, lexical[chosen[col]]) >= LEXICAL * np.sqrt(np.einsum("ij,ij->i", z, z))
+                        for r, c in zip(row[like].tolist(), chosen[col[like]].tolist()):
                             first = at[a + r]
                             d, item = int(doc[first]), items[c]
                             if found[d].get(c, 0) >= 1:
@@ -226,7 +253,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """docs with item_ids (sorted; empty if clean) and best_share (the largest part of an item found), under these names or with underscores in front."""
     outs = {c: fresh(docs, c) for c in ("item_ids", "best_share")}
     vectors, idf = fit(docs, text_col)
-    ids, share, searched = fresh(docs, "all_item_ids"), fresh(docs, "all_best_share"), docs.withColumns({})
+    random = np.random.default_rng(SEED + 1).standard_normal((TERMS, SKETCH)) * idf[:, None]
+    vectors = np.hstack([vectors, random.astype(np.float32)])
+    ids, share, searched = fresh(docs, "all_item_ids"), fresh(docs, "all_best_share"), docs
     rest = docs.columns
     first = True
     answers = F.col(answer_col) if answer_col else F.lit(None).cast("string")
@@ -236,7 +265,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     def apply(df: DataFrame) -> DataFrame:
         v = np.array(sums, dtype=np.float32)
-        v /= np.sqrt((v * v).sum(axis=1, keepdims=True)) + 1e-12
         have = df.columns
         cols = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(have)]
         kinds = [f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(have)]
