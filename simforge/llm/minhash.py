@@ -6,10 +6,11 @@ its slab, all hashed from shingle and slab, and counts where its height is below
 of a component agrees for two documents with a probability equal to their weighted Jaccard similarity.  Processes are
 followed only until all components of a document are filled.
 
-Signatures are cut into bands.  In each bucket of a band the document with the least id is the hub, and pairs with hubs
-are verified by the exact multisets.  Buckets that still hold several classes are then searched pair by pair across
-classes, in square blocks of bounded size, and what the signatures do not rule out is verified too.  So every pair with a
-band in common whose similarity is at least `SIMILAR` ends in one class, without all pairs of a group being made.
+Signatures are cut into bands.  In each bucket of a band the document with the least id is the hub.  Each document is
+verified, by the exact multisets, against the hub with which it has most bands in common.  Buckets that still hold several
+classes are then searched across classes, in squares of bounded size, by products of sparse incidence matrices; a square
+gives links that span what it joins, not all its pairs.  So every pair with a band in common whose similarity is at least
+`SIMILAR` ends in one class.
 
 Defined results: a null text counts as empty; equal texts are one class, also those without words, and texts without words
 are near no other; class_id is the least doc_id of the class (null ids count last, and are the class_id of a class that
@@ -27,11 +28,12 @@ from simforge.llm.common import NULL_ID, Powers, chunks, cut, fresh, mix, partit
 
 SHINGLE = 5
 SIMILAR = 0.8
-BANDS, ROWS = 24, 3
+BANDS, ROWS = 20, 4
 M = BANDS * ROWS
-#: Pairs whose signatures agree in a smaller part are not verified; at similarity 0.8 that is over six deviations low.
-HOPEFUL = 0.5
-SQUARE = 2048
+#: Texts of a bucket that are compared with as many others in one group.
+SQUARE = 512
+#: Up to so many links, one task joins them to components; beyond, stars do, by rounds.
+FEW_LINKS = 500_000
 _U = np.uint64
 _P = Powers(0x8CB92BA72F3D8DD7)
 _A, _B = _U(0x9E3779B97F4A7C15), _U(0xD1B54A32D192ED03)
@@ -102,9 +104,8 @@ def _sign(batches):
         for i in range(ROWS):
             keys = mix(keys * _A + mix(sig[:, i::ROWS] + _U(i + 1)))
         keys += mix(np.arange(1, BANDS + 1, dtype=np.uint64))[None]
-        short = (mix(sig) >> _U(48)).astype(np.uint16)
         bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (t.num_rows + 1) * BANDS, BANDS), pa.int32()), pa.array(keys.view(np.int64).reshape(-1)))
-        yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks(), t.column("node").combine_chunks(), pa.array(n), bands, pa.array([x.tobytes() for x in short], pa.binary())], names=["id", "node", "n", "bands", "sig"])
+        yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks(), t.column("node").combine_chunks(), pa.array(n), bands], names=["id", "node", "n", "bands"])
 
 
 def overlap(a: bytes, b: bytes) -> float:
@@ -125,20 +126,41 @@ def _verify(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are similar enough; keyed: (id, node, text) of one row at least for each node."""
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = cut(keyed.join(need, "node", "left_semi").select("node", "text").dropDuplicates(["node"]))
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return cut(both.mapInArrow(_verify, "a binary, b binary"))
+def _forest(a, b) -> dict:
+    """The root of each end of some links; the root is the least of its component."""
+    up: dict = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for x, y in zip(a, b):
+        x, y = root(x), root(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    return {x: root(x) for x in list(up)}
+
 
+def _few(batches):
+    a, b = [], []
+    for batch in batches:
+        a += batch.column("u").to_pylist()
+        b += batch.column("v").to_pylist()
+    of = _forest(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(of.keys(), pa.binary()), pa.array(of.values(), pa.binary())], names=["node", "root"])
 
-def components(links: DataFrame) -> DataFrame:
+
+def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
     """(node, root) of all ends of links (a, b); root is the least node of the component.
 
-    Large stars and small stars by turns: each only replaces links by links to a smaller neighbour, until all link to roots.
+    A number of links up to few goes to one task.  More are replaced, large stars and small stars by turns, by links to a
+    smaller neighbour, until all link to roots.
     """
     e = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    if e.count() <= few:
+        return e.coalesce(1).mapInArrow(_few, "node binary, root binary")
     mark = None
     while True:
         for small in (False, True):
@@ -148,7 +170,7 @@ def components(links: DataFrame) -> DataFrame:
             if small:
                 e = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
             else:
-                e = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                e = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.where("u != m").select("u", F.col("m").alias("v")))
             e = e.where("u != v").distinct()
         e = cut(e)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -158,21 +180,49 @@ def components(links: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def _blocks(t: pa.Table) -> pa.Table:
-    """Pairs across classes, of a block of a bucket, whose signatures leave hope."""
-    sig = np.array([np.frombuffer(x, np.uint16) for x in t.column("sig").to_pylist()])
-    node, root, side = t.column("node").to_pylist(), np.unique(t.column("root").to_pylist(), return_inverse=True)[1], t.column("side").to_numpy()
-    lo, hi = (t.column(c)[0].as_py() for c in ("lo", "hi"))
+def _across(t: pa.Table) -> pa.Table:
+    """Links that join classes of a square: overlaps of all its texts by products of incidence matrices, some columns at a time."""
+    node, side = t.column("node").to_pylist(), t.column("side").to_numpy()
+    root = np.unique(np.array(t.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
+    lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+    _, _, _, words, bounds = words_of(t.column("text").to_pylist())
+    doc, h, w = shingles(words, bounds)
+    total = np.bincount(doc, w, len(node))
+    # a column for each shingle and copy of it; columns of one text alone don't matter
+    entry = np.repeat(np.arange(len(h)), w)
+    unit = mix(h[entry] + (np.arange(len(entry)) - np.repeat(np.cumsum(w) - w, w)).astype(np.uint64) * _A)
+    _, column, count = np.unique(unit, return_inverse=True, return_counts=True)
+    keep = np.flatnonzero(count[column] > 1)
+    column, d = np.unique(column[keep], return_inverse=True)[1], doc[entry[keep]]
+    order = np.argsort(column, kind="stable")
+    column, d = column[order], d[order]
     left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
-    a, b = [], []
-    for i in left:
-        j = right[root[right] != root[i]]
-        j = j[(sig[j] == sig[i]).mean(axis=1) >= HOPEFUL]
-        for k in j:
-            if lo != hi or k > i:
-                x, y = sorted((node[i], node[k]))
-                a.append(x)
-                b.append(y)
+    common = np.zeros((len(left), len(right)), np.float32)
+    place = np.zeros(len(node), np.int64)
+    place[right] = np.arange(len(right))
+    row = np.zeros(len(node), np.int64)
+    row[left] = np.arange(len(left))
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        a, b = np.searchsorted(column, [c, c + 2048])
+        x, y = np.zeros((len(left), 2048), np.float32), np.zeros((len(right), 2048), np.float32)
+        i, k = d[a:b], column[a:b] - c
+        l, r = side[i] == lo, side[i] == hi
+        x[row[i[l]], k[l]] = 1
+        y[place[i[r]], k[r]] = 1
+        common += x @ y.T
+    similar = (common >= SIMILAR * (total[left][:, None] + total[right][None] - common)) & (root[left][:, None] != root[right][None])
+    i, j = np.nonzero(similar)
+    a, b, up = [], [], {}
+    for x, y in zip(left[i].tolist(), right[j].tolist()):
+        p, q = int(root[x]), int(root[y])
+        while p in up:
+            p = up[p]
+        while q in up:
+            q = up[q]
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            a.append(node[x])
+            b.append(node[y])
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
@@ -181,35 +231,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     node, key_id = F.unhex(F.md5(text)), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     keyed = docs.select(key_id.alias("id"), node.alias("node"), text.alias("text"))
-    signed = keyed.mapInArrow(_sign, "id long, node binary, n long, bands array<long>, sig binary")
-    nodes = cut(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    signed = keyed.mapInArrow(_sign, "id long, node binary, n long, bands array<long>")
+    nodes = cut(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     members = nodes.where("n > 0").select(F.explode("bands").alias("band"), "id", "node")
     hubs = members.groupBy("band").agg(F.min(F.struct("id", "node")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     spokes = cut(members.join(hubs, "band").select("band", "node", F.col("hub.id").alias("hub_id"), F.col("hub.node").alias("hub"), "size"))
-    sigs = nodes.select(F.col("node").alias("k"), "sig")
-    pairs = spokes.where("node != hub").select("node", "hub", "hub_id").distinct()
-    pairs = pairs.join(sigs.withColumnRenamed("sig", "s1"), F.col("node") == F.col("k")).drop("k").join(sigs.withColumnRenamed("sig", "s2"), F.col("hub") == F.col("k")).drop("k")
-    pairs = cut(pairs.mapInArrow(_hopeful, "node binary, hub binary, hub_id long"))
-    # each node with its first hub; then what is left between different classes
-    first = pairs.groupBy("node").agg(F.min(F.struct("hub_id", "hub")).alias("h")).select(F.col("h.hub").alias("a"), F.col("node").alias("b"))
-    links = _verified(first, keyed)
+    texts = cut(keyed.join(spokes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    # each node with the hub it meets most often
+    met = spokes.where("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("bands"), F.first("hub_id").alias("hub_id"))
+    pairs = met.groupBy("node").agg(F.min(F.struct(-F.col("bands"), "hub_id", "hub")).alias("h")).select(F.col("h.hub").alias("a"), F.col("node").alias("b"))
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    links = cut(both.mapInArrow(_verify, "a binary, b binary"))
     root = cut(components(links))
-    rooted = lambda df, col, out: df.join(root.select(F.col("node").alias("__n"), F.col("root").alias("__r")), F.col(col) == F.col("__n"), "left").withColumn(out, F.coalesce("__r", F.col(col))).drop("__n", "__r")
-    rest = rooted(rooted(pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")), "a", "ra"), "b", "rb").where("ra != rb").select("a", "b")
-    rest = rest.join(first, ["a", "b"], "left_anti")
-    inside = rooted(spokes.select("band", "node", "size"), "node", "root")
+
+    def rooted(df: DataFrame) -> DataFrame:
+        return df.join(root.select(F.col("node").alias("__n"), F.col("root").alias("__r")), F.col("node") == F.col("__n"), "left").withColumn("root", F.coalesce("__r", "node")).drop("__n", "__r")
+
+    # what is left between classes of a bucket
+    inside = cut(rooted(spokes.select("band", "node", "size")))
     mixed = inside.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("band")
-    n_sides = F.ceil(F.col("size") / SQUARE).cast("int")
-    inside = inside.where("size > 2").join(mixed, "band", "left_semi").withColumn("n_sides", n_sides).withColumn("side", F.pmod(F.xxhash64("node"), F.col("n_sides")).cast("int"))
+    inside = inside.join(mixed, "band", "left_semi").withColumn("n_sides", F.ceil(F.col("size") / SQUARE).cast("int")).withColumn("side", F.pmod(F.xxhash64("node"), F.col("n_sides")).cast("int"))
     inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_sides") - 1))).withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")})
-    across = inside.join(sigs, F.col("node") == F.col("k")).select("band", "lo", "hi", "side", "node", "root", "sig").groupBy("band", "lo", "hi").applyInArrow(_blocks, "a binary, b binary")
-    both = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(across).distinct())
-    if not both.isEmpty():
-        more = _verified(both, keyed)
-        if not more.isEmpty():
-            root = cut(components(links.union(more)))
+    more = cut(inside.join(texts, "node").select("band", "lo", "hi", "side", "node", "root", "text").groupBy("band", "lo", "hi").applyInArrow(_across, "a binary, b binary"))
+    if not more.isEmpty():
+        root = cut(components(links.union(more)))
     order = F.struct("id", "node")
-    classed = rooted(nodes.select("id", "node"), "node", "root")
+    classed = rooted(nodes.select("id", "node"))
     leads = classed.groupBy("root").agg(F.min(order).alias("lead"))
     classes = classed.join(leads, "root").select(F.col("node").alias("__node"), F.col("lead.id").alias("__class"), ((F.col("lead.node") == F.col("node")) & (F.col("lead.id") == F.col("id"))).alias("__lead"))
     outs = {c: fresh(docs, c) for c in ("class_id", "is_first")}
@@ -219,12 +266,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return done.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(F.col("__class") != NULL_ID, F.col("__class")).alias(outs["class_id"]), lead.alias(outs["is_first"]))
 
 
-def _hopeful(batches):
-    for batch in batches:
-        one, two = (np.array([np.frombuffer(x, np.uint16) for x in batch.column(c).to_pylist()]).reshape(-1, M) for c in ("s1", "s2"))
-        yield batch.select(["node", "hub", "hub_id"]).filter(pa.array((one == two).mean(axis=1) >= HOPEFUL))
-
-
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", "class_id", "is_first")
