@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from simforge.functions.hashing import subtree_hash
 from simforge.operators.pairs import shared_dice
+from simforge.operators.storage import saved
 
 # Leaf types whose label is marked, so that names and literal values don't count.
 LEAVES = ("identifier", "number_literal", "string_literal", "char_literal", "float_literal", "true", "false")
@@ -68,7 +69,7 @@ def subtree_bags(nodes: DataFrame) -> DataFrame:
             level = level.join(below, keys, "left").withColumn("h", F.when(F.col("kids").isNull(), subtree_hash(label, F.array().cast("array<string>"))).otherwise(subtree_hash(F.col("type"), F.coalesce("kids", F.array().cast("array<string>")))))
         level = level.select("problem", "file", "node_id", "parent_id", "h")
         if depth % 4 == 3:
-            level = level.checkpoint()
+            level = saved(level)
         done.append(level.select("problem", "file", "h"))
         below = level.where("parent_id is not null").groupBy("problem", "file", F.col("parent_id").alias("node_id")).agg(F.collect_list("h").alias("kids"))
     if not done:
