@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from simforge.functions import hashing, lexical
 from simforge.operators import ast, cluster, embed, features, metrics, mlp, pairs, pdg, sampling, structure
+from simforge.operators.storage import saved
 from simforge.plans import detect
 from simforge.plans.registry import ORACLE, QUERIES
 from simforge.sources import files as sources
@@ -65,7 +66,7 @@ _NAMES = "a.problem AS problem_1, a.file AS file_1, b.problem AS problem_2, b.fi
 
 @query(f"WITH {TOKENS}, e AS (SELECT problem, file, unnest(fp) AS k FROM fps), c AS (SELECT {_NAMES}, count(*) AS n FROM e a JOIN e b ON a.k = b.k AND {_PAIRS} GROUP BY ALL), p AS (SELECT {_NAMES}, len(a.fp) + len(b.fp) AS t FROM fps a JOIN fps b ON {_PAIRS}) SELECT problem_1, file_1, problem_2, file_2, round(CASE WHEN t > 0 THEN 2.0::DOUBLE * coalesce(n, 0) / t ELSE 0 END, 9)::DOUBLE AS S_token FROM p LEFT JOIN c USING (problem_1, file_1, problem_2, file_2)")
 def token_pairs_dice(spark, d):
-    fp = detect.token_fingerprints(files(spark, d))
+    fp = saved(detect.token_fingerprints(files(spark, d)))
     return detect.token_similarity(fp).withColumn("S_token", F.round("S_token", 9))
 
 
@@ -87,6 +88,12 @@ seqs AS MATERIALIZED (SELECT problem, file, b, list_transform(list_sort(flatten(
 shapes AS (SELECT problem, file, seq, greatest(0, coalesce(list_max(list_transform(range(1, length(b) + 1), lambda i: 2 * length(replace(b[1:i], '}}', '')) - i)), 0))::BIGINT AS depth FROM seqs)"""
 
 
+@query(f"WITH {STRUCTURE} SELECT problem, file, len(seq)::BIGINT AS n, array_to_string(seq, ' ') AS seq FROM shapes")
+def structure_sequences_native(spark, d):
+    s = files(spark, d).select("problem", "file", lexical.structure_labels(F.col("code")).alias("seq"))
+    return s.select("problem", "file", F.size("seq").cast("long").alias("n"), F.array_join("seq", " ").alias("seq"))
+
+
 @query(f"WITH {STRUCTURE} SELECT problem, file, len(seq)::BIGINT AS n, array_to_string(seq, ' ') AS seq FROM shapes")
 def structure_sequences(spark, d):
     s = structure.features(files(spark, d))
@@ -114,12 +121,12 @@ def structure_trigrams(spark, d):
 
 @query(f"WITH {STRUCTURE}, {_GRAMS}, norms AS (SELECT problem, file, sqrt(sum(w * w)) AS n FROM grams GROUP BY ALL), c AS (SELECT {_NAMES}, sum(a.w * b.w) AS s FROM grams a JOIN grams b ON a.key = b.key AND {_PAIRS} GROUP BY ALL) SELECT problem_1, file_1, problem_2, file_2, round(s / (x.n * y.n), 9) AS cosine FROM c JOIN norms x ON x.problem = problem_1 AND x.file = file_1 JOIN norms y ON y.problem = problem_2 AND y.file = file_2")
 def structure_trigram_cosine(spark, d):
-    return pairs.shared_cosine(structure.trigrams(structure.features(files(spark, d))), "cosine").withColumn("cosine", F.round("cosine", 9))
+    return pairs.shared_cosine(saved(structure.trigrams(structure.features(files(spark, d)))), "cosine").withColumn("cosine", F.round("cosine", 9))
 
 
 @query()
 def structure_similarity(spark, d):
-    return structure.similarity(structure.features(files(spark, d)), same_problem=True)
+    return structure.similarity(saved(structure.features(files(spark, d))), same_problem=True)
 
 
 # --------------------------------------------------------------- embeddings
@@ -162,7 +169,7 @@ def ast_bags(spark, d):
 
 @query()
 def ast_similarity(spark, d):
-    return ast.similarity(ast.tree_bags(files(spark, d)))
+    return ast.similarity(saved(ast.tree_bags(files(spark, d))))
 
 
 def _order_graph(spark, d):
@@ -170,7 +177,7 @@ def _order_graph(spark, d):
     li = table(spark, d, "lineitem").select((F.col("l_orderkey") % 50).cast("string").alias("file"), F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.when(F.col("l_returnflag") == "N", "data").otherwise("control").alias("etype"))
     edges = li.groupBy(F.lit("orders").alias("problem"), "file", "src", "dst").agg(F.max("etype").alias("etype"))
     ends = edges.select("problem", "file", F.col("src").alias("node"), F.lit("order").alias("label")).union(edges.select("problem", "file", "dst", F.lit("part"))).distinct()
-    return ends, edges
+    return saved(ends), saved(edges)
 
 
 _GRAPH = """edges AS (SELECT (l_orderkey % 50)::VARCHAR AS file, 'o' || l_orderkey AS src, 'p' || l_partkey AS dst, max(CASE WHEN l_returnflag = 'N' THEN 'data' ELSE 'control' END) AS etype FROM lineitem GROUP BY ALL),
@@ -189,7 +196,7 @@ def wl_histogram(spark, d):
 
 @query(f"WITH {_GRAPH}, norms AS (SELECT problem, file, sqrt(sum(w * w)) AS n FROM hist GROUP BY ALL), c AS (SELECT {_NAMES}, sum(a.w * b.w) AS s FROM hist a JOIN hist b ON a.key = b.key AND {_PAIRS} GROUP BY ALL) SELECT problem_1, file_1, problem_2, file_2, round(s / (x.n * y.n), 9) AS S_PDG FROM c JOIN norms x ON x.file = file_1 JOIN norms y ON y.file = file_2")
 def pdg_cosine(spark, d):
-    return pairs.shared_cosine(pdg.histogram(pdg.refine(*_order_graph(spark, d))), "S_PDG").withColumn("S_PDG", F.round("S_PDG", 9))
+    return pairs.shared_cosine(saved(pdg.histogram(pdg.refine(*_order_graph(spark, d)))), "S_PDG").withColumn("S_PDG", F.round("S_PDG", 9))
 
 
 # ------------------------------------------------- features, samples, splits

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,8 +29,8 @@ def source_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = (
     return files.select(F.url_decode(F.element_at(parts, -2)).alias("problem"), F.url_decode(F.replace(F.element_at(parts, -1), F.lit("+"), F.lit("%2B"))).alias("file"), newlines(decode).alias("code"), F.col("length").alias("n_bytes"))
 
 
-@F.pandas_udf("string")
-def _decode(content):
+@F.pandas_udf(T.StringType())
+def _decode(content: pd.Series) -> pd.Series:
     return content.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
 
@@ -54,7 +55,7 @@ def with_ir(files: DataFrame, irs: DataFrame) -> DataFrame:
 def fingerprint(files: DataFrame) -> DataFrame:
     """One row: the md5 of "problem/file:size" lines, in order of problem and file (a bounded number of short lines)."""
     line = F.concat("problem", F.lit("/"), "file", F.lit(":"), F.col("n_bytes").cast("string"))
-    rows = F.array_sort(F.collect_list(F.struct("problem", "file", line.alias("line"))))
+    rows = F.sort_array(F.collect_list(F.struct("problem", "file", line.alias("line"))))
     return files.agg(F.md5(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").cast("binary")).alias("fingerprint"))
 
 
