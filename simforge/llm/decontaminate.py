@@ -142,7 +142,7 @@ def fit(docs: DataFrame, text_col: str = "text", fit_passages: int = FIT_PASSAGE
         return np.zeros((TERMS, DIMENSIONS), np.float32), np.ones(TERMS)
     idf = np.log((n + 1) / (counted[:TERMS] + 1)) + 1
     drawn = texts if n <= fit_passages else texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * fit_passages / n))
-    drawn = drawn.repartition(8, F.xxhash64("text"))
+    drawn = drawn.repartition(8)  # a bounded sample in few tasks: each sends a whole product
     q = np.random.default_rng(SEED).standard_normal((TERMS, DIMENSIONS + EXTRA)).astype(np.float32)
     for _ in range(2):
         y = _total(drawn.mapInArrow(_gram(q, idf), "part int, x binary"), np.float32)
