@@ -105,6 +105,8 @@ def _track(data, start: int, end: int) -> dict:
                 t["stsc"] = _numbers(data, s + 8, e, ">u4", 3, _full(data, s, e, 1)[1])
             elif kind == b"stsz":
                 _, size, count = _full(data, s, e, 2)
+                if size * count > len(data):
+                    raise Fault("samples beyond the end of the file")
                 t["sizes"] = np.full(count, size, dtype=np.int64) if size else _numbers(data, s + 12, e, ">u4", 1, count)[:, 0]
             elif kind in (b"stco", b"co64"):
                 t["chunks"] = _numbers(data, s + 8, e, ">u4" if kind == b"stco" else ">u8", 1, _full(data, s, e, 1)[1])[:, 0]
@@ -125,7 +127,7 @@ def _places(t: dict, size: int) -> np.ndarray:
     each = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(at) + 1)))
     if int(each.sum()) < len(sizes):
         raise Fault("more samples than chunks hold")
-    chunk = np.repeat(np.arange(len(at)), each)[: len(sizes)]
+    chunk = np.searchsorted(np.cumsum(each), np.arange(len(sizes)), side="right")
     before = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     first = np.searchsorted(chunk, np.arange(len(at)))
     start = at[chunk] + before - before[np.minimum(first, len(sizes) - 1)][chunk]
