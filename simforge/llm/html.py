@@ -99,6 +99,9 @@ def pieces(html: str):
             else:
                 yield "close", stack, name
             continue
+        if name == "br":
+            yield "text", stack, " "
+            continue
         if name in _INLINE:
             yield "inline", stack, name
             continue

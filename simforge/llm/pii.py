@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from simforge.llm.common import cut, fresh, table
 
 KEY = "simforge surrogate key 1"
-MOST_DRAWS = 1_000
+#: After so many draws the space of surrogates counts as exhausted, and the last draw stays.
+MOST_DRAWS = 60
 #: Titles that tell a gender, and those that don't.
 MALE = ("Mr", "Sir", "Herr", "Señor", "Monsieur")
 FEMALE = ("Mrs", "Ms", "Miss", "Lady", "Frau", "Señora", "Madame")

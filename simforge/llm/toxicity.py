@@ -69,7 +69,7 @@ class Model:
             for w in set(_WORD.findall((text or "").lower())):
                 hit = get(w)
                 if hit is None:
-                    if len(memo) > 500_000:
+                    if len(memo) > 100_000:
                         memo.clear()
                     hit = memo[w] = tuple(f for f in features_of(w) if f in weights)
                 if hit:
