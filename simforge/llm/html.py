@@ -37,7 +37,9 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _P_ENDS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _JUNK = frozenset("nav header footer aside form button menu dialog select input head".split())
 _JUNK_WORD = re.compile(r"^(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notices?|pager|pagination|popup|promo\w*|related|recommend\w*|repl(?:y|ies)|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)$", re.I)
-PRIOR = {"word": 1.0, "junk": -4.0, "tag": -0.5}
+PRIOR = {"word": 1.0, "junk": -2.0, "tag": -0.4, "junk tag": -1.0}
+#: What a word that is left out anyway costs the stretch that spans it at most.
+DROPPED = -0.3
 MAX_PAGES = 4_000
 MOST_KEYS = 4_096
 
@@ -133,7 +135,8 @@ def count(html: str | None) -> Counter | None:
     out: Counter = Counter()
     marks = 0
     for kind, stack, value in pieces(html or ""):
-        inside = any(e[2] for e in stack) and not any(e[3] for e in stack)
+        main = any(e[2] for e in stack)
+        inside = main and not any(e[3] for e in stack)
         if kind == "open":
             marks += value.split(".")[0] in ("article", "main")
         if kind == "text":
@@ -141,7 +144,7 @@ def count(html: str | None) -> Counter | None:
             if n:
                 out.update({("word", e[1], inside): n for e in stack})
         elif kind != "inline":
-            out["tag", f"{kind}:{value}", inside] += 1
+            out["tag", f"{kind}:{value}", main] += 1
     return out if marks == 1 else None
 
 
@@ -150,7 +153,7 @@ def weights_of(counts: list[tuple[str, str, int, int]]) -> dict[str, dict[str, f
     out: dict[str, dict[str, float]] = {"word": {}, "tag": {}}
     for kind, key, a, b in counts:
         odds = log((a + 0.5) / (b + 0.5))
-        out[kind][key] = max(-6.0, min(3.0, odds)) if kind == "word" else max(-8.0, min(-0.05, odds))
+        out[kind][key] = max(-6.0, min(3.0, odds)) if kind == "word" else max(-2.0, min(-0.05, odds))
     return out
 
 
@@ -172,11 +175,11 @@ def extract(html: str | None, weights: dict[str, dict[str, float]]) -> str:
     for kind, stack, x in pieces(html or ""):
         if kind == "text":
             w = value(stack)
-            seq.append((w * len(x.split()), x if w > 0 else None, False))
+            seq.append((max(w, DROPPED) * len(x.split()), x if w > 0 or not x.strip() else None, False))
         elif kind == "inline":
             seq.append((-0.01, None, False))
         else:
-            seq.append((tags.get(f"{kind}:{x}", PRIOR["junk"] if x.split(".")[0] in _JUNK else PRIOR["tag"]), None, True))
+            seq.append((tags.get(f"{kind}:{x}", PRIOR["junk tag"] if x.split(".")[0] in _JUNK else PRIOR["tag"]), None, True))
     best, total, start, span = 0.0, 0.0, 0, (0, 0)
     for i, (w, _, _) in enumerate(seq):
         if total <= 0:

@@ -421,5 +421,5 @@ def test_toxicity_edges(spark):
     docs = frame(spark, [(1, "a", 0.5)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.score(docs, toxicity.fit(docs, none))
-    assert got.columns == ["doc_id", "text", "score", "_score"] and got.first()["_score"] == 0
+    assert got.columns == ["doc_id", "text", "score", "_score"] and got.first()["_score"] < 1e-200
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, none)).count() == 0
