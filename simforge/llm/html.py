@@ -37,7 +37,7 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _P_ENDS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _JUNK = frozenset("nav header footer aside form button menu dialog select input head".split())
 _JUNK_WORD = re.compile(r"^(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notices?|pager|pagination|popup|promo\w*|related|recommend\w*|repl(?:y|ies)|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)$", re.I)
-PRIOR = {"word": 1.0, "junk": -2.0, "tag": -0.4, "junk tag": -1.0}
+PRIOR = {"word": 1.0, "junk": -2.0, "tag": -0.4, "junk tag": -0.6}
 #: What a word that is left out anyway costs the stretch that spans it at most.
 DROPPED = -0.3
 MAX_PAGES = 4_000
