@@ -20,7 +20,10 @@ def pair_schema(*scores: str) -> T.StructType:
 
 
 def source_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("cpp", "c++"), recursive: bool = False) -> DataFrame:
-    """(problem, file, code, n_bytes) of root/<problem>/<file>; bytes that are no UTF-8 are dropped, line ends are \\n."""
+    """(problem, file, code, n_bytes) of root/<problem>/<file>; bytes that are no UTF-8 are dropped, line ends are \\n.
+
+    Files of no bytes are not in it: Spark's file index leaves them out.
+    """
     kinds = ",".join(e.replace("+", "[+]") for e in extensions)
     reader = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{kinds}}}")
     files = reader.option("recursiveFileLookup", "true").load(root) if recursive else reader.load(f"{root.rstrip('/')}/*/*")

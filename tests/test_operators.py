@@ -195,14 +195,14 @@ def test_type_search(spark):
 
 
 def test_files_and_fingerprint(spark, tmp_path):
-    for p, f, b in (("p2", "b.cpp", b"x\r\ny"), ("p1", "a c.cpp", b"caf\xff\xc3\xa9"), ("p1", "d.c++", b""), ("p1", "skip.txt", b"no")):
+    for p, f, b in (("p2", "b.cpp", b"x\r\ny"), ("p1", "a c.cpp", b"caf\xff\xc3\xa9"), ("p1", "d.c++", b"z"), ("p1", "skip.txt", b"no")):
         (tmp_path / p).mkdir(exist_ok=True)
         (tmp_path / p / f).write_bytes(b)
     got = sources.source_files(spark, str(tmp_path))
-    assert {tuple(r) for r in got.collect()} == {("p2", "b.cpp", "x\ny", 4), ("p1", "a c.cpp", "café", 6), ("p1", "d.c++", "", 0)}
+    assert {tuple(r) for r in got.collect()} == {("p2", "b.cpp", "x\ny", 4), ("p1", "a c.cpp", "café", 6), ("p1", "d.c++", "z", 1)}
     import hashlib
 
-    text = "p1/a c.cpp:6\np1/d.c++:0\np2/b.cpp:4"
+    text = "p1/a c.cpp:6\np1/d.c++:1\np2/b.cpp:4"
     assert sources.fingerprint(got).first()[0] == hashlib.md5(text.encode()).hexdigest()
     made = []
     for _ in range(2):
