@@ -150,6 +150,17 @@ def words_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return buf, starts, ends, hashes(buf, starts, ends), np.searchsorted(starts, at)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: idle Python workers otherwise hold what their last task took."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def chunks(batches, text: str, most: int = 1 << 20):
     """Arrow batches dealt anew: tables of rows whose texts have most bytes together; a longer text stands alone."""
     import pyarrow as pa
@@ -165,3 +176,4 @@ def chunks(batches, text: str, most: int = 1 << 20):
                 j += 1
             yield pa.Table.from_batches([batch.slice(i, j - i)])
             i = j
+    trim()

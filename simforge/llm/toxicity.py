@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simforge.llm.common import crc_mod, fresh, table
+from simforge.llm.common import crc_mod, fresh, table, trim
 
 #: Groups of terms that may stand for one another.
 IDENTITY = (
@@ -197,6 +197,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(batch.column(at).to_pylist()))], names=[*batch.schema.names, "score"])
+        trim()
 
     kinds = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)]
     return docs.select(*cols).mapInArrow(run, ", ".join([*kinds, "score double"])).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], F.col("score").alias(out))
