@@ -59,9 +59,9 @@ class Model:
     bias: float
     settings: Settings
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        """Scores from 0 to 1."""
-        memo: dict[str, tuple] = {}
+    def score(self, texts: list[str | None], memo: dict[str, tuple] | None = None) -> np.ndarray:
+        """Scores from 0 to 1; memo: the features that words have, kept from batch to batch."""
+        memo = {} if memo is None else memo
         get, weights = memo.get, self.weights
         out = np.empty(len(texts))
         for i, text in enumerate(texts):
@@ -195,8 +195,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     at = f"c{rest.index(next(c for c in rest if c.lower() == text_col.lower()))}"
 
     def run(batches):
+        memo: dict[str, tuple] = {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(batch.column(at).to_pylist()))], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(batch.column(at).to_pylist(), memo))], names=[*batch.schema.names, "score"])
+        memo.clear()
         trim()
 
     kinds = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)]
