@@ -5,13 +5,14 @@
    test matrix and back, a distributed sum joins the products, and the driver, which holds only terms x dimensions, makes
    the basis (one power iteration, then Rayleigh-Ritz).  It is fitted on documents drawn by hash, `FIT_PASSAGES` passages
    in expectation (a bounded sample, as a parameter).
-3. Every window of every document, at lengths near those of the items, is compared with all items by the cosine of the
-   whitened latent vectors; what reaches `COSINE` is a candidate.  Rare words hardly show in the latent space, so that a
-   hundredth of all windows are candidates; those that share few words by weight go at once: the cosine of a random
-   projection of their TF-IDF vectors has to reach `LEXICAL`.
-4. A candidate counts if the longest common subsequence of item and window covers `COVERED` of the item's words, or
+3. A region of a document counts if its longest common subsequence with an item covers `COVERED` of the item's words, or
    `PARAPHRASE` of them while `ANSWERED` of the answer's words are there (a column of answers, or else the item's rarest
-   words).
+   words).  Such a region has one of the item's key words: of its rarest words one more than may be missing, or of the
+   answer's.  Documents whose words allow the share are therefore found by key words and exact word counts, without loss.
+4. In these documents every window at lengths near those of the items is compared with the items by the cosine of the
+   whitened latent vectors; windows that reach `COSINE` are verified first.  Paraphrases that the rule accepts come down to
+   a cosine of 0.1, where half of all windows are, so the cosine decides the order only: unless an item was found whole,
+   all regions around its key words are verified as well.
 
 The items are a benchmark, read in blocks of `BLOCK` items, each against all documents; a block's vectors and words are
 what each task gets.
@@ -23,6 +24,8 @@ result; words are compared without regard to case (A-Z); other columns pass thro
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +38,7 @@ PASSAGE = 32
 DIMENSIONS = 48
 EXTRA = 16
 FIT_PASSAGES = 100_000
-SKETCH = 32
-COSINE, LEXICAL = 0.65, 0.45
+COSINE = 0.65
 COVERED, PARAPHRASE, ANSWERED = 0.8, 0.6, 0.8
 ANSWER_WORDS = 5
 BLOCK = 1024
@@ -171,27 +173,106 @@ def common_length(item: dict[int, int], n: int, window: np.ndarray) -> int:
     return n - v.bit_count()
 
 
+def _least(share: float, n: int) -> int:
+    """The least number of n that is at least this share of them."""
+    return math.ceil(share * n - 1e-9)
+
+
 class Item:
-    """What is needed of an item to verify a window."""
+    """What is needed of an item to verify a region."""
 
     def __init__(self, item_id: int, words: np.ndarray, answer: np.ndarray | None, idf: np.ndarray):
         self.id, self.n = item_id, len(words)
         self.bits: dict[int, int] = {}
         for i, w in enumerate(words.tolist()):
             self.bits[w] = self.bits.get(w, 0) | 1 << i
-        if answer is None or not len(answer):
-            distinct = np.unique(words)
-            answer = distinct[np.argsort(-idf[(distinct >> _U(49)).astype(np.int64)], kind="stable")[:ANSWER_WORDS]]
+        rare = lambda x: x[np.argsort(-idf[(x >> _U(49)).astype(np.int64)], kind="stable")]
+        answer = rare(np.unique(words))[:ANSWER_WORDS] if answer is None or not len(answer) else rare(np.unique(answer))
         self.answer = set(answer.tolist())
-
-    def share(self, window: np.ndarray) -> float:
-        """The part of the item that is in the window, or 0 if it doesn't count."""
-        there = set(window.tolist())
-        if sum(b.bit_count() for w, b in self.bits.items() if w in there) < PARAPHRASE * self.n:
+        self.answered = _least(ANSWERED, len(answer))
+        self.covered, self.paraphrase = _least(COVERED, self.n), _least(PARAPHRASE, self.n)
+        self.region = self.n + 2 * max(2 * CELL, self.n // 2)
+        # a region that counts lacks too few of these words to lack all of them
+        self.key = np.unique(np.concatenate([rare(words)[: self.n - self.covered + 1], answer[: len(answer) - self.answered + 1]]))
+        self.words = np.unique(np.concatenate([words, answer]))
+        self.times = np.array([self.bits.get(w, 0).bit_count() for w in self.words.tolist()])
+        self.is_answer = np.isin(self.words, answer)
+
+    def possible(self, times: int, answers: int) -> bool:
+        """Whether a region can count that has so many of the item's words and so many of the answer's."""
+        return times >= self.covered or times >= self.paraphrase and answers >= self.answered
+
+    def share(self, region: np.ndarray) -> float:
+        """The part of the item that is in the region, or 0 if it doesn't count."""
+        there = set(region.tolist())
+        answers = len(self.answer & there)
+        if not self.possible(sum(b.bit_count() for w, b in self.bits.items() if w in there), answers):
             return 0.0
-        share = common_length(self.bits, self.n, window) / self.n
-        answered = len(self.answer & there) >= ANSWERED * len(self.answer)
-        return share if share >= COVERED or share >= PARAPHRASE and answered else 0.0
+        common = common_length(self.bits, self.n, region)
+        return common / self.n if self.possible(common, answers) else 0.0
+
+    def best(self, words: np.ndarray, hits: np.ndarray, keys: np.ndarray) -> float:
+        """The largest share of all regions of a document; hits: places of the item's and the answer's words; keys: of its key words."""
+        # a region may as well begin at a hit, and has a key word
+        at = np.searchsorted(keys, hits)
+        starts = hits[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] < hits + self.region)]
+        ends = np.searchsorted(hits, starts + self.region)
+        best, matched = 0.0, words[hits]
+        for a, b in zip(np.searchsorted(hits, starts).tolist(), ends.tolist()):
+            if b - a >= max(self.paraphrase, best * self.n) and (share := self.share(matched[a:b])) > best:
+                best = share
+                if best >= 1:
+                    break
+        return best
+
+
+class Index:
+    """The items' words, and which items have which key word."""
+
+    def __init__(self, items: list[Item]):
+        self.items = items
+        self.words = np.unique(np.concatenate([i.words for i in items]))
+        self.own = [np.searchsorted(self.words, i.words) for i in items]
+        pairs = np.array([(k, c) for c, i in enumerate(items) for k in np.searchsorted(self.words, i.key).tolist()])
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        self.item = pairs[:, 1]
+        self.first = np.searchsorted(pairs[:, 0], np.arange(len(self.words) + 1))
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Number of each word among the items' words; one past the last for others."""
+        at = np.searchsorted(self.words, words)
+        return np.where(self.words[np.minimum(at, len(self.words) - 1)] == words, at, len(self.words))
+
+    def possible(self, number: np.ndarray, bounds: np.ndarray):
+        """(document, [(item, hits, keys)]) for all documents and items whose words allow that a region counts."""
+        at = np.flatnonzero(number < len(self.words))
+        at = at[self.first[number[at] + 1] > self.first[number[at]]]
+        if not len(at):
+            return
+        docs = np.searchsorted(bounds, at, side="right") - 1
+        has = np.zeros(len(self.words) + 1, bool)
+        for d, a, b in zip(*(x.tolist() for x in _runs(docs))):
+            lo, hi = int(bounds[d]), int(bounds[d + 1])
+            own, keys = number[lo:hi], at[a:b]
+            size = self.first[number[keys] + 1] - self.first[number[keys]]
+            items = self.item[np.repeat(self.first[number[keys]], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+            has[own] = True
+            out = []
+            for c in np.unique(items).tolist():
+                item, there = self.items[c], has[self.own[c]]
+                if item.possible(int(item.times[there].sum()), int((there & item.is_answer).sum())):
+                    mine = np.zeros(len(self.words) + 1, bool)
+                    mine[self.own[c]] = True
+                    out.append((c, np.flatnonzero(mine[own]), np.repeat(keys, size)[items == c] - lo))
+            has[own] = False
+            if out:
+                yield d, out
+
+
+def _runs(x: np.ndarray):
+    """Value, start and end of each run of equal values."""
+    start = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    return x[start], start, np.append(start[1:], len(x))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -207,41 +288,40 @@ def _lengths(longest: int) -> np.ndarray:
 
 
 def _search(items: list[Item], vectors: np.ndarray, terms: np.ndarray):
-    """vectors: of the items; terms: of the terms; the first DIMENSIONS columns are latent, the others the random projection."""
+    """vectors: latent ones of the items; terms: of the terms."""
     terms = np.vstack([terms, np.zeros((1, terms.shape[1]), np.float32)])
-    latent, lexical = _unit(vectors[:, :DIMENSIONS]), _unit(vectors[:, DIMENSIONS:])
+    latent, index = _unit(vectors), Index(items)
     lengths = _lengths(max(i.n for i in items))
     of = np.argmin(np.abs(lengths[None] - np.array([i.n for i in items])[:, None]), axis=1)
 
+    def near(term: np.ndarray, chosen: np.ndarray):
+        """(first word, item) of the document's windows that are near one of the chosen items."""
+        start = np.arange(0, len(term), CELL)
+        total = np.zeros((len(start) + 1, terms.shape[1]), np.float32)
+        np.cumsum(_sums(terms, term, start, CELL), axis=0, out=total[1:])
+        for scale in np.unique(of[chosen]):
+            some = chosen[of[chosen] == scale]
+            cells = int(lengths[scale]) // CELL
+            at = np.arange(0, len(start), max(1, cells // 4))
+            x = total[np.minimum(at + cells, len(start))] - total[at]
+            row, col = np.nonzero(_unit(x) @ latent[some].T >= COSINE)
+            yield from zip(start[at[row]].tolist(), some[col].tolist())
+
     def run(batches):
         for t in chunks(batches, "text", 1 << 18):
             words, term, bounds = _words(t.column("text").to_pylist())
             found: list[dict[int, float]] = [{} for _ in range(t.num_rows)]
-            start = _passages(bounds, CELL)
-            if len(start):
-                doc = np.searchsorted(bounds, start, side="right") - 1
-                total = np.zeros((len(start) + 1, terms.shape[1]), np.float32)
-                np.cumsum(_sums(terms, term, start, CELL), axis=0, out=total[1:])
-                cell_in_doc = np.arange(len(start)) - np.searchsorted(doc, doc)
-                for scale in np.unique(of):
-                    chosen = np.flatnonzero(of == scale)
-                    cells, stride = int(lengths[scale]) // CELL, max(1, int(lengths[scale]) // (4 * CELL))
-                    at = np.flatnonzero(cell_in_doc % stride == 0)
-                    x = total[np.minimum(at + cells, len(start))] - total[at]
-                    for a in range(0, len(at), 1 << 13):
-                        y = x[a : a + (1 << 13)]
-                        row, col = np.nonzero(_unit(y[:, :DIMENSIONS]) @ latent[chosen].T >= COSINE)
-                        z = y[row, DIMENSIONS:]
-                        like = np.einsum("ij,ij->i", z, lexical[chosen[col]]) >= LEXICAL * np.sqrt(np.einsum("ij,ij->i", z, z))
-                        for r, c in zip(row[like].tolist(), chosen[col[like]].tolist()):
-                            first = at[a + r]
-                            d, item = int(doc[first]), items[c]
-                            if found[d].get(c, 0) >= 1:
-                                continue
-                            reach = max(2 * CELL, item.n // 2)
-                            lo, hi = max(int(bounds[d]), int(start[first]) - reach), min(int(bounds[d + 1]), int(start[first]) + item.n + reach)
-                            if (share := item.share(words[lo:hi])) > found[d].get(c, 0):
-                                found[d][c] = share
+            for d, open_ in index.possible(index.places(words), bounds):
+                lo, hi = int(bounds[d]), int(bounds[d + 1])
+                own = words[lo:hi]
+                for first, c in near(term[lo:hi], np.array([c for c, _, _ in open_])):
+                    if found[d].get(c, 0) < 1:
+                        reach = (items[c].region - items[c].n) // 2
+                        if (share := items[c].share(own[max(0, first - reach) : first + items[c].n + reach])) > found[d].get(c, 0):
+                            found[d][c] = share
+                for c, hits, keys in open_:
+                    if found[d].get(c, 0) < 1 and (share := items[c].best(own, hits, keys)) > found[d].get(c, 0):
+                        found[d][c] = share
             ids = [sorted({items[c].id for c in f}) for f in found]
             t = t.drop_columns(["text"]).append_column("item_ids", pa.array(ids, pa.list_(pa.int64()))).append_column("best_share", pa.array([max(f.values(), default=0.0) for f in found], pa.float64()))
             yield from t.to_batches()
@@ -253,8 +333,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """docs with item_ids (sorted; empty if clean) and best_share (the largest part of an item found), under these names or with underscores in front."""
     outs = {c: fresh(docs, c) for c in ("item_ids", "best_share")}
     vectors, idf = fit(docs, text_col)
-    random = np.random.default_rng(SEED + 1).standard_normal((TERMS, SKETCH)) * idf[:, None]
-    vectors = np.hstack([vectors, random.astype(np.float32)])
     ids, share, searched = fresh(docs, "all_item_ids"), fresh(docs, "all_best_share"), docs
     rest = docs.columns
     first = True

@@ -184,6 +184,26 @@ def test_contaminated_documents_are_found(spark):
     assert all(not ids for i, ids in got.items() if i not in truth)
 
 
+@pytest.mark.parametrize("kept, filled", [(0.8, False), (0.6, False), (1, True), (0.7, True)])
+def test_every_paraphrase_that_counts_is_found(spark, kept, filled):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefghijklmno", k=rng.randint(2, 9))) for _ in range(3000)]
+    items = [(i, rng.sample(vocabulary, rng.randint(15, 60))) for i in range(30)]
+    rows = []
+    for i, item in items:
+        others = [w for w in vocabulary if w not in item]
+        answer, rest = set(range(5)), range(5, len(item))
+        stay = answer | set(rng.sample(rest, -int(-kept * len(item) // 1) - 5))
+        passage = [x for j, w in enumerate(item) for x in [w if j in stay else rng.choice(others), *([rng.choice(others)] if filled and j % 2 else [])]]
+        w = rng.choices(others, k=rng.randint(20, 300))
+        at = rng.randint(0, len(w))
+        rows.append((i, " ".join(w[:at] + passage + w[at:])))
+    rows.append((99, " ".join(rng.choices(vocabulary, k=400))))
+    bench = spark.createDataFrame([(i, " ".join(x), " ".join(x[:5])) for i, x in items], "item_id long, text string, answer string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.contaminated(frame(spark, rows), bench, answer_col="answer").collect()}
+    assert got == {i: [i] for i, _ in items} | {99: []}
+
+
 def test_decontamination_edges(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 1)
     t = " ".join(WORDS[:40])
