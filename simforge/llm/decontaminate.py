@@ -3,8 +3,8 @@
 1. Document frequencies of hashed terms over all passages of all documents.
 2. A randomised singular value decomposition of the TF-IDF matrix of passages: tasks multiply their passages with a common
    test matrix and back, a distributed sum joins the products, and the driver, which holds only terms x dimensions, makes
-   the basis (one power iteration, then Rayleigh-Ritz).  It is fitted on documents drawn by hash, `FIT_PASSAGES` passages
-   in expectation (a bounded sample, as a parameter).
+   the basis (one power iteration, then Rayleigh-Ritz).  It is fitted on all passages; a task sends one product for
+   `TASK_PASSAGES` passages or more, and the products are added in two steps, `FAN` in the first.
 3. A region of a document counts if its longest common subsequence with an item covers `COVERED` of the item's words, or
    `PARAPHRASE` of them while `ANSWERED` of the answer's words are there (a column of answers, or else the item's rarest
    words).  Such a region has one of the item's key words: of its rarest words one more than may be missing, or of the
@@ -37,7 +37,8 @@ TERMS = 1 << 15
 PASSAGE = 32
 DIMENSIONS = 48
 EXTRA = 16
-FIT_PASSAGES = 100_000
+TASK_PASSAGES, FAN = 1 << 16, 32
+FREQUENT = 128
 COSINE = 0.65
 COVERED, PARAPHRASE, ANSWERED = 0.8, 0.6, 0.8
 ANSWER_WORDS = 5
@@ -88,14 +89,18 @@ def _frequencies(batches):
 def _sum(kind):
     def run(t: pa.Table) -> pa.Table:
         arrays = sorted(t.column("x").to_pylist())  # so that the order of tasks changes no digit
-        total = sum(np.frombuffer(x, kind).astype(np.float64 if kind == np.float32 else kind) for x in arrays)
+        total = np.zeros(len(arrays[0]) // np.dtype(kind).itemsize, np.float64 if kind == np.float32 else kind)
+        for x in arrays:
+            total += np.frombuffer(x, kind)
         return pa.table({"part": [t.column("part")[0].as_py()], "x": [total.astype(kind).tobytes()]}, schema=pa.schema([("part", pa.int32()), ("x", pa.binary())]))
 
     return run
 
 
 def _total(rows: DataFrame, kind) -> np.ndarray | None:
-    got = rows.groupBy("part").applyInArrow(_sum(kind), "part int, x binary").collect()
+    rows = rows.withColumn("task", F.floor(F.spark_partition_id() / F.lit(FAN)).cast("int"))
+    few = rows.groupBy("part", "task").applyInArrow(_sum(kind), "part int, x binary")
+    got = few.groupBy("part").applyInArrow(_sum(kind), "part int, x binary").collect()
     return np.concatenate([np.frombuffer(r["x"], kind) for r in sorted(got, key=lambda r: r["part"])]) if got else None
 
 
@@ -109,33 +114,49 @@ def _sums(vectors: np.ndarray, terms: np.ndarray, start: np.ndarray, width: int)
 
 
 def _gram(test: np.ndarray, idf: np.ndarray):
-    """The passages' transposed matrix times their matrix times test."""
+    """The passages' transposed matrix times their matrix times test: the most frequent terms as a dense matrix, the others by sums of columns."""
     k = test.shape[1]
 
     def run(batches):
-        out, weighted = np.zeros((TERMS, k)), np.vstack([test * idf[:, None], np.zeros((1, k))]).astype(np.float32)
+        weighted = np.ascontiguousarray((test * idf[:, None]).T.astype(np.float32))
+        top = np.argsort(idf, kind="stable")[:FREQUENT]
+        rank = np.full(TERMS, FREQUENT)
+        rank[top] = np.arange(FREQUENT)
+        top_weighted, square = np.ascontiguousarray(weighted[:, top].T), idf * idf
+        out, top_out = np.zeros((k, TERMS)), np.zeros((FREQUENT, k))
         some = False
-        for t in chunks(batches, "text", 1 << 18):
+        for t in chunks(batches, "text", 1 << 19):
             words, terms, bounds = _words(t.column("text").to_pylist())
             start = _passages(bounds, PASSAGE)
-            if not len(start):
-                continue
-            some = True
-            size = np.diff(np.append(start, len(words)))
-            norm = np.sqrt(np.add.reduceat(idf[terms] ** 2, start)) + 1e-9
-            z = (_sums(weighted, terms, start, PASSAGE) / (norm**2)[:, None]).astype(np.float32)
-            order = np.argsort(terms.astype(np.uint16), kind="stable")
-            last = np.flatnonzero(np.append(np.diff(terms[order]) != 0, True))
-            total = np.cumsum(z[np.repeat(np.arange(len(start)), size)[order]], axis=0, dtype=np.float64)[last]
-            u = terms[order][last]
-            out[u] += np.diff(total, axis=0, prepend=0) * idf[u, None]
+            for a in range(0, len(start), 1 << 14):
+                b = min(len(start), a + (1 << 14))
+                some = True
+                lo, hi = start[a], start[b] if b < len(start) else len(words)
+                term, first = terms[lo:hi], start[a:b] - lo
+                passage = np.repeat(np.arange(b - a), np.diff(np.append(first, hi - lo)))
+                r = rank[term]
+                is_top = r < FREQUENT
+                dense = np.bincount(passage[is_top] * FREQUENT + r[is_top], minlength=(b - a) * FREQUENT).reshape(b - a, FREQUENT).astype(np.float32)
+                z = dense @ top_weighted
+                term, of = term[~is_top], passage[~is_top]
+                if len(term):
+                    runs = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                    z[of[runs]] += np.add.reduceat(weighted.take(term, axis=1), runs, axis=1).T
+                z /= (np.add.reduceat(square[terms[lo:hi]], first) + 1e-9).astype(np.float32)[:, None]
+                top_out += dense.T @ z
+                if len(term):
+                    columns = np.ascontiguousarray(z.T, np.float64)
+                    for j in range(k):
+                        out[j] += np.bincount(term, columns[j].take(of), TERMS)
         if some:
-            yield _parts_of(out.astype(np.float32).reshape(-1))
+            out = out.T
+            out[top] += top_out
+            yield _parts_of((out * idf[:, None]).astype(np.float32).reshape(-1))
 
     return run
 
 
-def fit(docs: DataFrame, text_col: str = "text", fit_passages: int = FIT_PASSAGES) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Whitened term vectors (terms x dimensions, idf included) and idf."""
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     counted = _total(texts.mapInArrow(_frequencies, "part int, x binary"), np.int64)
@@ -143,14 +164,10 @@ def fit(docs: DataFrame, text_col: str = "text", fit_passages: int = FIT_PASSAGE
     if not n:
         return np.zeros((TERMS, DIMENSIONS), np.float32), np.ones(TERMS)
     idf = np.log((n + 1) / (counted[:TERMS] + 1)) + 1
-    drawn = texts if n <= fit_passages else texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * fit_passages / n))
-    drawn = drawn.repartition(8)  # a bounded sample in few tasks: each sends a whole product
+    texts = texts.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_PASSAGES)))  # each task sends a whole product
     q = np.random.default_rng(SEED).standard_normal((TERMS, DIMENSIONS + EXTRA)).astype(np.float32)
     for _ in range(2):
-        y = _total(drawn.mapInArrow(_gram(q, idf), "part int, x binary"), np.float32)
-        if y is None:
-            return np.zeros((TERMS, DIMENSIONS), np.float32), idf
-        y = y.reshape(TERMS, -1).astype(np.float64)
+        y = _total(texts.mapInArrow(_gram(q, idf), "part int, x binary"), np.float32).reshape(TERMS, -1).astype(np.float64)
         small = q.T.astype(np.float64) @ y
         basis = q
         q = np.linalg.qr(y)[0].astype(np.float32)

@@ -204,6 +204,21 @@ def test_every_paraphrase_that_counts_is_found(spark, kept, filled):
     assert got == {i: [i] for i, _ in items} | {99: []}
 
 
+def test_all_passages_are_fitted(spark):
+    common = texts(8, 3500, 960, 960)  # thirty passages each, 105,000 of all
+    rare = texts(9, 40, 960, 960, [f"r{i}" for i in range(200)])
+    rows = spark.createDataFrame(list(enumerate(common + rare)), "doc_id long, text string").repartition(4, "doc_id")
+    got, idf = decontaminate.fit(rows)
+    moment = np.zeros((decontaminate.DIMENSIONS, decontaminate.DIMENSIONS))
+    for t in common + rare:
+        _, term, bounds = decontaminate._words([t.encode()])
+        for at in decontaminate._passages(bounds, decontaminate.PASSAGE):
+            some = term[at : at + decontaminate.PASSAGE]
+            z = got[some].sum(axis=0) / np.sqrt((idf[some] ** 2).sum())
+            moment += np.outer(z, z)
+    assert np.allclose(moment, np.eye(len(moment)), atol=0.02)  # white over all passages
+
+
 def test_decontamination_edges(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 1)
     t = " ".join(WORDS[:40])
