@@ -297,8 +297,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _lengths(longest: int) -> np.ndarray:
-    """Window lengths, each two fifths longer than the one before, in whole cells."""
-    out = [3 * CELL]
+    """Window lengths in whole cells: up to three, then each two fifths longer than the one before."""
+    out = [CELL, 2 * CELL, 3 * CELL]
     while out[-1] < longest:
         out.append(-(-int(out[-1] * 1.4) // CELL) * CELL)
     return np.array(out)

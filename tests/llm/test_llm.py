@@ -219,6 +219,18 @@ def test_all_passages_are_fitted(spark):
     assert np.allclose(moment, np.eye(len(moment)), atol=0.02)  # white over all passages
 
 
+def test_short_items_are_found(spark):
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choices("abcdefghijklmno", k=rng.randint(4, 9))) for _ in range(3000)]
+    items = [(i, rng.sample(vocabulary, 1 + i % 12)) for i in range(60)]
+    taken = {w for _, x in items for w in x}
+    others = [w for w in vocabulary if w not in taken]
+    rows = [(i, " ".join(rng.choices(others, k=rng.choice([0, 150])) + x + rng.choices(others, k=rng.choice([0, 1, 150])))) for i, x in items]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
+    assert all(i in got[i] for i, _ in items)
+
+
 def test_decontamination_edges(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 1)
     t = " ".join(WORDS[:40])
