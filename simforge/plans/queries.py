@@ -126,6 +126,11 @@ def structure_trigram_cosine(spark, d):
 
 @query()
 def structure_similarity(spark, d):
+    return structure.similarity(saved(structure.features(files(spark, d))))
+
+
+@query()
+def structure_similarity_same_problem(spark, d):
     return structure.similarity(saved(structure.features(files(spark, d))), same_problem=True)
 
 

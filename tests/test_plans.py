@@ -54,5 +54,14 @@ def test_query_matches_sql(spark, name):
     assert tidy(tuple(r) for r in df.select(*columns).collect()) == tidy(found.fetchall())
 
 
+def test_structure_similarity_pairs_all_files(spark):
+    d = "/root/testdata/sf0.001"
+    queries = __spark_entry__.queries()
+    got, own = queries["structure_similarity"](spark, d), queries["structure_similarity_same_problem"](spark, d)
+    n = spark.read.parquet(f"{d}/pages.parquet").count()
+    assert got.count() == n * (n - 1) // 2
+    assert own.count() == own.join(got.where("problem_1 = problem_2"), own.columns).count() == got.where("problem_1 = problem_2").count()
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
