@@ -6,9 +6,11 @@ task gives the same values as the lost one.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,9 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; only where that is unset, a local one."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share; a local one only where that is unset and the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = os.path.join(tempfile.gettempdir(), "simforge-checkpoints")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/simforge-{uuid.uuid4().hex}"
@@ -76,18 +80,15 @@ def ranked(df: DataFrame, group: list[str], by: str, out: str, slices: int = 64)
     """
     cell, first, n = fresh(df, "cell"), fresh(df, "first"), fresh(df, "n_cell")
     df = df.withColumn(cell, F.floor((F.col(by) / F.lit(2.0**64) + 0.5) * slices).cast("int"))
-    counts = df.groupBy(*group, cell).agg(F.count(F.lit(1)).alias(n))
+    keys = [*group, cell]
+    renamed = [fresh(df, f"rank_key_{i}") for i in range(len(keys))]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
     before = Window.partitionBy(*group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*group, cell, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
-    inside = Window.partitionBy(*group, cell).orderBy(by)
+    counts = counts.select(*[F.col(k).alias(r) for k, r in zip(keys, renamed)], F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    inside = Window.partitionBy(*keys).orderBy(by)
     df = df.withColumn(out, F.row_number().over(inside) - F.lit(1))
-    keys = [*group, cell]
-    renamed = counts.select(*[F.col(c).alias(f"__{c}") for c in keys], first)
-    match = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
-    on = match[0]
-    for m in match[1:]:
-        on = on & m
-    return df.join(renamed, on).withColumn(out, (F.col(out) + F.col(first)).cast("long")).drop(cell, first, *[f"__{c}" for c in keys])
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(r)) for k, r in zip(keys, renamed)])
+    return df.join(counts, on).withColumn(out, (F.col(out) + F.col(first)).cast("long")).drop(cell, first, *renamed)
 
 
 # ---------------------------------------------------------------- word hashing
@@ -100,29 +101,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-class Powers:
-    """Powers of an odd number modulo 2**64 and of its inverse, as far as they were needed."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 2**64)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            for name, x in (("up", self.base), ("down", self.inverse)):
-                p = np.full(size, x, dtype=np.uint64)
-                p[0] = 1
-                setattr(self, name, np.cumprod(p, dtype=np.uint64))
-        return self.up[:n], self.down[:n]
-
-
-_CHARS = Powers(0x9E3779B97F4A7C15 | 1)
+_HEAD_OF = np.array([256**k - 1 for k in range(8)] + [2**64 - 1], dtype=np.uint64)
+_A, _B = _U(0x9E3779B97F4A7C15), _U(0xD1B54A32D192ED03)
+#: Keys of two independent hashes; together they are 128 bits.
+KEYS = (0x243F6A8885A308D3, 0x13198A2E03707344)
+LONG_WORD = 1 << 12
 
 
 def spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,21 +118,51 @@ def spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of the bytes."""
-    up, down = _CHARS.of(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[buf] * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = KEYS[0]) -> np.ndarray:
+    """A keyed 64-bit hash of each span of the bytes.
 
-
-def words_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    Eight bytes at a time enter by a bijection of the state, so that spans of one length that differ in a block never meet
+    before a later block does; nothing is a polynomial.  Spans beyond LONG_WORD take a library hash.
+    """
+    blocks = np.ndarray(len(buf) + 1, dtype="<u8", buffer=np.append(buf, np.zeros(8, np.uint8)), strides=(1,))
+    n = ends - starts
+    out = mix(n.astype(np.uint64) + _U(key))
+    live, at, left = np.flatnonzero(n <= LONG_WORD), starts, n
+    if len(live) < len(n):
+        for i in np.flatnonzero(n > LONG_WORD).tolist():
+            digest = hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8, key=key.to_bytes(8, "little")).digest()
+            out[i] = int.from_bytes(digest, "little")
+        at, left = at[live], left[live]
+    while len(live):
+        out[live] = mix(out[live] ^ (blocks[at] & _HEAD_OF[np.minimum(left, 8)])) + _A
+        more = np.flatnonzero(left > 8)
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return mix(out)
+
+
+def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = KEYS[0]) -> np.ndarray:
+    """A keyed 64-bit hash of each run of word hashes, from the hashes of runs of 1, 2, 4, ... words (its length's binary digits)."""
+    n = ends - starts
+    out, at = mix(n.astype(np.uint64) + _U(key)), starts.copy()
+    longest, size, level = int(n.max()) if len(n) else 0, 1, words
+    while size <= longest:
+        some = np.flatnonzero(n & size)
+        if len(some):
+            out[some] = mix(out[some] * _A + level[at[some]])
+            at[some] += size
+        if 2 * size <= longest:
+            level = mix(level[:-size] * _A + mix(level[size:] ^ _U(key ^ size)))
+        size *= 2
+    return mix(out)
+
+
+def words_of(texts: list[bytes | None], key: int = KEYS[0]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All words of some texts: the joined bytes, starts, ends, hashes, and where each text's words begin (one more at the end)."""
     joined = b" ".join(t or b"" for t in texts) + b" "
     buf = np.frombuffer(joined, dtype=np.uint8)
     starts, ends = spans(buf)
     at = np.cumsum([0] + [len(t or b"") + 1 for t in texts])
-    return buf, starts, ends, hashes(buf, starts, ends), np.searchsorted(starts, at)
+    return buf, starts, ends, hashes(buf, starts, ends, key), np.searchsorted(starts, at)
 
 
 def trim() -> None:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simforge.llm.common import NULL_ID, Powers, chunks, cut, fresh, mix, partitions, table, words_of
+from simforge.llm.common import NULL_ID, chunks, cut, fresh, mix, run_hashes, table, words_of
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -35,7 +35,6 @@ SQUARE = 512
 #: Up to so many links, one task joins them to components; beyond, stars do, by rounds.
 FEW_LINKS = 500_000
 _U = np.uint64
-_P = Powers(0x8CB92BA72F3D8DD7)
 _A, _B = _U(0x9E3779B97F4A7C15), _U(0xD1B54A32D192ED03)
 
 
@@ -46,10 +45,7 @@ def shingles(words: np.ndarray, bounds: np.ndarray, k: int = SHINGLE) -> tuple[n
     count = n - size + (n > 0)
     doc = np.repeat(np.arange(len(n)), count)
     start = bounds[:-1][doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    up, down = _P.of(len(words) + 1)
-    total = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(mix(words) * up[:-1], out=total[1:])
-    h = mix((total[start + size[doc]] - total[start]) * down[start])
+    h = run_hashes(words, start, start + size[doc])
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
     first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)

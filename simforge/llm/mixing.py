@@ -10,7 +10,8 @@ stay distributed tables.
 
 Defined results: a null text has no words, and such documents are never needed and take 0; a null source is a source and
 comes last; repeated rows have the same hash, and which of them is taken is arbitrary; without any words all targets and
-taken words are 0; an empty table gives no rows; other columns pass through.
+taken words are 0; an empty table gives no rows; very long texts are one long document each; other columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from simforge.llm.common import fresh, ranked, table
+from simforge.llm.common import cut, fresh, ranked, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -29,6 +30,8 @@ SEED = 4_021
 #: Budget left to the dynamic program: units of the longest length, and words at least; rounding down adds one unit at most.
 RESERVE = 4
 EXACT = 1 << 16
+#: Up to so many (source, length) pairs are sent to all tasks.
+FEW_LENGTHS = 500_000
 
 
 def n_words(text: Column) -> Column:
@@ -112,7 +115,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
 
 def mix(docs: DataFrame, source_col: str, size_col: str, key_cols: list[str], seed: int = SEED, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """docs with source_size, target (of the source) and copies (times the document is taken)."""
-    n, s, rank, order = (fresh(docs, x) for x in ("mix_size", "mix_source", "mix_rank", "mix_order"))
+    n, s, rank, order, of_source, of_length, of_size, of_target, base, more = (fresh(docs, x) for x in ("mix_size", "mix_source", "mix_rank", "mix_order", "p_source", "p_length", "p_source_size", "p_target", "base", "more"))
     outs = [fresh(docs, x) for x in ("source_size", "target", "copies")]
     keep = docs.columns
     docs = docs.withColumns({n: F.col(f"`{size_col}`"), s: F.col(f"`{source_col}`"), order: F.xxhash64(*[F.col(f"`{c}`") for c in key_cols], F.lit(seed))})
@@ -121,23 +124,41 @@ def mix(docs: DataFrame, source_col: str, size_col: str, key_cols: list[str], se
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("length", ignore_index=True)
-        base, more = choose(pdf["length"].to_numpy(), pdf["n"].to_numpy(), float(pdf["target"].iloc[0]), most)
-        return pd.DataFrame({"p_source": pdf["source"], "p_length": pdf["length"], "source_size": pdf["source_size"], "target": pdf["target"], "base": base, "more": more})
+        passes, once = choose(pdf["length"].to_numpy(), pdf["n"].to_numpy(), float(pdf["target"].iloc[0]), most)
+        return pd.DataFrame({"source": pdf["source"], "length": pdf["length"], "source_size": pdf["source_size"], "target": pdf["target"], "passes": passes, "once": once})
 
     c, g = counts.alias("c"), goal.alias("g")
     chosen = c.join(g, F.col("c.source").eqNullSafe(F.col("g.source"))).select("c.source", "length", "n", "source_size", "target")
-    chosen = chosen.groupBy("source").applyInPandas(plan, f"p_source string, p_length long, source_size long, target double, base long, more long")
+    chosen = cut(chosen.groupBy("source").applyInPandas(plan, "source string, length long, source_size long, target double, passes long, once long"))
+    chosen = chosen.withColumnsRenamed({"source": of_source, "length": of_length, "source_size": of_size, "target": of_target, "passes": base, "once": more})
+    if chosen.count() <= FEW_LENGTHS:  # checked: at most some tens of MB; else both sides are dealt by source and length
+        chosen = F.broadcast(chosen)
     docs = ranked(docs, [s, n], order, rank)
-    docs = docs.join(chosen.withColumnsRenamed({"source_size": "p_source_size", "target": "p_target"}), F.col(s).eqNullSafe(F.col("p_source")) & (F.col(n) == F.col("p_length")))
-    copies = F.col("base") + F.when(F.col(rank) < F.col("more"), 1).otherwise(0)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("p_source_size").alias(outs[0]), F.col("p_target").alias(outs[1]), copies.alias(outs[2]))
+    docs = docs.join(chosen, F.col(s).eqNullSafe(F.col(of_source)) & (F.col(n) == F.col(of_length)))
+    copies = F.col(base) + F.when(F.col(rank) < F.col(more), 1).otherwise(0)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(of_size).alias(outs[0]), F.col(of_target).alias(outs[1]), copies.alias(outs[2]))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("code"))
+    docs = cut(table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("code")))
     mixed = mix(docs, "source", "size", ["doc_id", "code"])
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {"op7_mixing": op7_mixing}
-ORACLE: dict[str, str] = {}
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets that op7 fills, and whether what it takes is near them: within the longest document, and no more than the target."""
+    docs = cut(table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("code")))
+    mixed = mix(docs, "source", "size", ["doc_id", "code"])
+    sums = mixed.groupBy("source", "source_size", F.round("target", 3).alias("target")).agg(F.sum(F.col("size") * F.col("copies")).alias("t"), F.max("size").alias("longest"))
+    return sums.select("source", "source_size", "target", ((F.col("t") <= F.col("target") + 1) & (F.col("t") >= F.col("target") - F.col("longest") - 1)).alias("near"))
+
+
+QUERIES = {"op7_mixing": op7_mixing, "mixing_targets": mixing_targets}
+#: Water filling: the level is that of the first source, by cap for its weight, whose cap the level does not reach.
+ORACLE: dict[str, str] = {
+    "mixing_targets": f"""WITH s AS (SELECT source, sum(len(list_filter(string_split_regex(coalesce(text, ''), '[\x09-\x0D\x20]+'), lambda x: x <> '')))::BIGINT AS source_size FROM documents GROUP BY source),
+r AS (SELECT *, ({list(WEIGHTS)})[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1]::DOUBLE AS w, {MOST} * source_size AS cap, {SHARE} * sum(source_size) OVER () AS budget FROM s),
+l AS (SELECT a.source, a.cap / a.w AS ratio, (a.budget - coalesce((SELECT sum(b.cap) FROM r b WHERE b.cap / b.w < a.cap / a.w), 0)) / (SELECT sum(b.w) FROM r b WHERE b.cap / b.w >= a.cap / a.w) AS level FROM r a),
+best AS (SELECT min(level) AS level FROM (SELECT level FROM l WHERE level <= ratio ORDER BY ratio LIMIT 1))
+SELECT source, source_size, round(least(cap, coalesce(level * w, cap)), 3)::DOUBLE AS target, true AS near FROM r, best""",
+}
