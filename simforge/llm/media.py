@@ -1,12 +1,15 @@
 """ISO base media files: boxes, sample tables and keyframe byte ranges, read without decoding payloads.
 
 `probe` walks the nested boxes of a file held as bytes and gives one record per track: handler, codec, time scale,
-duration, sample count and the byte ranges of all samples and of the keyframes.  `store_pcm` writes bytes as the 8-bit
-samples of a file with one raw-audio track, and `payload` reads them back through the sample table.
+duration, sample count and the byte ranges of all samples and of the keyframes; samples of movie fragments follow those of
+the movie's own tables.  `store_pcm` writes bytes as the 8-bit samples of a file with one raw-audio track, and `payload`
+reads them back through the sample table.
 
 Defined results: a null or empty file has no tracks and the error "empty"; a file whose boxes or tables are cut off or
-contradict themselves keeps the tracks before the fault and names it in `error`; boxes of unknown types are skipped;
-without a sync-sample box each sample is a keyframe; repeated rows are each probed; other columns pass through.
+contradict themselves keeps the tracks before the fault and names it in `error`; boxes of unknown types are skipped, and
+boxes may be nested to any depth; without a sync-sample box each sample is a keyframe; of a file without samples the payload
+is the error "no samples"; very large files stand alone in a block; an empty table gives no rows; repeated rows are each
+probed; other columns pass through.
 """
 
 from __future__ import annotations
@@ -62,6 +65,16 @@ def _numbers(data, start: int, end: int, kind: str, columns: int, count: int) ->
     return np.frombuffer(data, dtype=dtype, count=count * columns, offset=start).astype(np.int64).reshape(count, columns)
 
 
+def _small_numbers(data, start: int, end: int, bits: int, count: int) -> np.ndarray:
+    """Numbers of 4, 8 or 16 bits."""
+    if bits not in (4, 8, 16):
+        raise Fault("field size out of range")
+    if bits > 4:
+        return _numbers(data, start, end, ">u1" if bits == 8 else ">u2", 1, count)[:, 0]
+    both = _numbers(data, start, end, ">u1", 1, -(-count // 2))[:, 0]
+    return np.stack([both >> 4, both & 15], axis=1).reshape(-1)[:count]
+
+
 def _full(data, start: int, end: int, n: int) -> tuple:
     """Version and the first n 32-bit fields of a full box."""
     if end - start < 4 + 4 * n:
@@ -81,11 +94,12 @@ def _times(data, start: int, end: int, skip: int) -> tuple[int, int]:
 def _track(data, start: int, end: int) -> dict:
     """What the boxes of one trak say."""
     t: dict = {"track_id": None, "handler": None, "codec": None, "timescale": None, "duration": None}
-
-    def walk(a: int, b: int) -> None:
-        for kind, s, e in boxes(data, a, b):
+    inside = [boxes(data, start, end)]
+    while inside:
+        for kind, s, e in inside[-1]:
             if kind in CONTAINERS:
-                walk(s, e)
+                inside.append(boxes(data, s, e))
+                break
             elif kind == b"tkhd":
                 version = _full(data, s, e, 1)[0]
                 t["track_id"] = _full(data, s, e, 5 if version == 1 else 3)[-1]
@@ -108,10 +122,13 @@ def _track(data, start: int, end: int) -> dict:
                 if size * count > len(data):
                     raise Fault("samples beyond the end of the file")
                 t["sizes"] = np.full(count, size, dtype=np.int64) if size else _numbers(data, s + 12, e, ">u4", 1, count)[:, 0]
+            elif kind == b"stz2":
+                _, bits, count = _full(data, s, e, 2)
+                t["sizes"] = _small_numbers(data, s + 12, e, bits & 0xFF, count)
             elif kind in (b"stco", b"co64"):
                 t["chunks"] = _numbers(data, s + 8, e, ">u4" if kind == b"stco" else ">u8", 1, _full(data, s, e, 1)[1])[:, 0]
-
-    walk(start, end)
+        else:
+            inside.pop()
     return t
 
 
@@ -131,22 +148,95 @@ def _places(t: dict, size: int) -> np.ndarray:
     before = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     first = np.searchsorted(chunk, np.arange(len(at)))
     start = at[chunk] + before - before[np.minimum(first, len(sizes) - 1)][chunk]
-    if (start + sizes > size).any():
-        raise Fault("samples beyond the end of the file")
+    _inside(start, sizes, size)
     return start
 
 
+def _inside(start: np.ndarray, sizes: np.ndarray, size: int) -> None:
+    if len(start) and ((start < 0) | (start + sizes > size)).any():
+        raise Fault("samples beyond the end of the file")
+
+
+class _Fields:
+    """Reads the fields of a box one after the other."""
+
+    def __init__(self, data, start: int, end: int):
+        self.data, self.at, self.end = data, start, end
+
+    def take(self, kind: str) -> int:
+        width = struct.calcsize(kind)
+        if self.at + width > self.end:
+            raise Fault("box cut off")
+        self.at += width
+        return struct.unpack_from(kind, self.data, self.at - width)[0]
+
+    def maybe(self, there: int, kind: str, otherwise=None):
+        return self.take(kind) if there else otherwise
+
+
+def _fragment(data, moof: int, start: int, end: int, known: dict[int, dict], defaults: dict[int, tuple]) -> None:
+    """Adds the samples of a movie fragment to its tracks.  Sample flags without the non-sync bit make a keyframe."""
+    data_end = None
+    for kind, a, b in boxes(data, start, end):
+        if kind != b"traf":
+            continue
+        t, base, given, at = None, moof, (0, 0, 0), None
+        for inner, s, e in boxes(data, a, b):
+            f = _Fields(data, s, e)
+            if inner == b"tfhd":
+                flags = f.take(">I") & 0xFFFFFF
+                track = f.take(">I")
+                if (t := known.get(track)) is None:
+                    raise Fault("fragment of an unknown track")
+                base = f.maybe(flags & 1, ">Q", moof if flags & 0x20000 or data_end is None else data_end)
+                f.maybe(flags & 2, ">I")
+                d = defaults.get(track, (0, 0, 0))
+                given = tuple(f.maybe(flags & bit, ">I", x) for bit, x in zip((8, 16, 32), d))
+                at = base
+            elif inner == b"trun":
+                if t is None:
+                    raise Fault("run before its header")
+                flags, n = f.take(">I") & 0xFFFFFF, f.take(">I")
+                offset = f.maybe(flags & 1, ">i")
+                at = at if offset is None else base + offset
+                first = f.maybe(flags & 4, ">I")
+                per = [flags & bit for bit in (0x100, 0x200, 0x400, 0x800)]
+                width = sum(map(bool, per))
+                if not width and n * max(1, given[1]) > len(data):
+                    raise Fault("samples beyond the end of the file")
+                rows = _numbers(data, f.at, e, ">u4", width, n) if width else np.zeros((n, 0), np.int64)
+                columns = iter(rows.T)
+                duration, size, mark = (next(columns) if there else np.full(n, x, dtype=np.int64) for there, x in zip(per, given))
+                if first is not None and n:
+                    mark = np.append(first, mark[1:])
+                starts = at + np.cumsum(size) - size
+                _inside(starts, size, len(data))
+                t["sync"] = np.append(t["sync"], len(t["starts"]) + np.flatnonzero(mark & 0x10000 == 0))
+                t["starts"], t["sizes"] = np.append(t["starts"], starts), np.append(t["sizes"], size)
+                t["duration"] = (t["duration"] or 0) + int(duration.sum())
+                at = data_end = at + int(size.sum())
+
+
 def tracks(data) -> tuple[list[dict], str | None]:
     """All tracks, with arrays `starts`, `sizes` and `sync` (indices of keyframes); and what stopped the walk, if something did."""
     found: list[dict] = []
     if not data:
         return found, "empty"
     view = memoryview(data)
+    known: dict[int, dict] = {}
+    defaults: dict[int, tuple] = {}
     try:
         for kind, s, e in boxes(view, 0, len(view)):
+            if kind == b"moof":
+                _fragment(view, s - 8, s, e, known, defaults)
             if kind != b"moov":
                 continue
             for inner, a, b in boxes(view, s, e):
+                if inner == b"mvex":
+                    for x, c, _ in boxes(view, a, b):
+                        if x == b"trex":
+                            _, track, _, *rest = _full(view, c, b, 5)
+                            defaults[track] = tuple(rest)
                 if inner != b"trak":
                     continue
                 t = _track(view, a, b)
@@ -159,6 +249,7 @@ def tracks(data) -> tuple[list[dict], str | None]:
                 if t["duration"] in (None, 0) and "stts" in t:
                     t["duration"] = int((t["stts"][:, 0] * t["stts"][:, 1]).sum())
                 found.append(t)
+                known[t["track_id"]] = t
     except Fault as fault:
         return found, str(fault)
     except (struct.error, StopIteration):
@@ -231,6 +322,8 @@ def payload(data: bytes) -> bytes:
     if error or not found:
         raise Fault(error or "no track")
     t = found[0]
+    if not len(t["starts"]):
+        raise Fault("no samples")
     starts, ends = t["starts"], t["starts"] + t["sizes"]
     cut = np.flatnonzero(starts[1:] != ends[:-1])
     view = memoryview(data)
@@ -288,11 +381,12 @@ def media_features(files: DataFrame, content_col: str = "media") -> DataFrame:
     def run(contents):
         rows = []
         for data in contents:
-            found, error = tracks(data)
-            if error or not found:
-                rows.append((None, None, None, None, None, f"error={error or 'no track'}"))
+            try:
+                body = payload(data)
+            except Fault as fault:
+                rows.append((None, None, None, None, None, f"error={fault}"))
                 continue
-            body, r = payload(data), _record(found[0])
+            r = _record(tracks(data)[0][0])
             keys = hashlib.sha256(b"".join(struct.pack(">QQ", k["start"], k["size"]) for k in r["keyframes"])).hexdigest()[:16]
             feature = f"{r['handler']}/{r['codec']} scale={r['timescale']} duration={r['duration']} samples={r['n_samples']} keyframes={r['n_keyframes']} ranges={keys}"
             rows.append((len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature))
@@ -307,5 +401,41 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(media_of_texts(docs).drop("text")).drop("media")
 
 
+def _oracle() -> str:
+    """The stored file written out in SQL, box by box, as hexadecimal; its layout is the format's, and its numbers follow from the number of units."""
+    u4 = lambda x: f"lpad(lower(hex(({x})::BIGINT)), 8, '0')"
+    u8 = lambda x: f"lpad(lower(hex(({x})::BIGINT)), 16, '0')"
+    box = lambda kind, size, *parts: " || ".join([u4(size), f"'{kind.encode().hex()}'", *parts])
+    raw = lambda h: f"'{h}'"
+    each = lambda count, value, form: f"array_to_string(list_transform(range({count}), lambda i: {form(value)}), '')"
+    zeros = lambda n: raw("00" * n)
+    matrix = raw("00010000" + "00" * 12 + "00010000" + "00" * 12 + "40000000")
+    entry = box("raw ", 36, zeros(6), raw("0001"), zeros(8), raw("0001000800000000"), u4(f"{RATE}::BIGINT << 16"))
+    runs = f"CASE WHEN n % {CHUNK} = 0 THEN {u4('1')} || {u4(CHUNK)} || {u4('1')} WHEN n > {CHUNK} THEN {u4('1')} || {u4(CHUNK)} || {u4('1')} || {u4('c')} || {u4(f'n % {CHUNK}')} || {u4('1')} ELSE {u4('1')} || {u4(f'n % {CHUNK}')} || {u4('1')} END"
+    stbl = [
+        box("stsd", 52, zeros(4), u4("1"), entry), box("stts", 24, zeros(4), u4("1"), u4("n"), u4(UNIT)),
+        box("stss", "16 + 4 * c", zeros(4), u4("c"), each("c", f"1 + i * {CHUNK}", u4)), box("stsc", "16 + 12 * r", zeros(4), u4("r"), f"({runs})"),
+        box("stsz", 20, zeros(4), u4(UNIT), u4("n")), box("stco", "16 + 4 * c", zeros(4), u4("c"), each("c", f"start + i * {CHUNK * UNIT}", u4)),
+    ]
+    dinf = box("dinf", 36, box("dref", 28, zeros(4), u4("1"), box("url ", 12, raw("00000001"))))
+    minf = box("minf", "stbl + 60", box("smhd", 16, zeros(8)), dinf, box("stbl", "stbl", *stbl))
+    mdhd = box("mdhd", 44, raw("01000000"), zeros(16), u4(RATE), u8("bytes"), raw("55c40000"))
+    mdia = box("mdia", "stbl + 145", mdhd, box("hdlr", 33, zeros(8), raw(b"soun".hex()), zeros(13)), minf)
+    tkhd = box("tkhd", 104, raw("01000007"), zeros(16), u4("1"), zeros(4), u8("bytes"), zeros(8), raw("0000000001000000"), matrix, zeros(8))
+    mvhd = box("mvhd", 120, raw("01000000"), zeros(16), u4(RATE), u8("bytes"), raw("0001000001000000"), zeros(8), matrix, zeros(24), u4("2"))
+    moov = box("moov", "stbl + 385", mvhd, box("trak", "stbl + 257", tkhd, mdia))
+    ftyp = box("ftyp", 24, raw(b"isom".hex()), u4("512"), raw(b"isommp41".hex()))
+    step = "xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(32), lambda i: ('0x' || payload[2 * (bytes - 32 + i) + 1:2 * (bytes - 32 + i) + 2])::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, k: {step})), 4294967295::BIGINT)"
+    keys = f"substr(sha256(unhex(array_to_string(list_transform(range(c), lambda i: {u8(f'start + i * {CHUNK * UNIT}')} || {u8(UNIT)}), ''))), 1, 16)"
+    return f"""WITH t AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+p AS (SELECT *, greatest(1, (n_bytes + {UNIT - 1}) // {UNIT}) AS n FROM t),
+q AS (SELECT *, n * {UNIT} AS bytes, (n + {CHUNK - 1}) // {CHUNK} AS c, CASE WHEN n % {CHUNK} = 0 OR n < {CHUNK} THEN 1 ELSE 2 END AS r, h || repeat('ff', (n * {UNIT} - n_bytes)::INTEGER) AS payload FROM p),
+s AS (SELECT *, 152 + 8 * c + 12 * r AS stbl FROM q), z AS (SELECT *, 24 + stbl + 385 + 8 AS start FROM s),
+f AS (SELECT *, unhex({ftyp} || {moov} || {u4("bytes + 8")} || '{b"mdat".hex()}' || payload) AS file FROM z)
+SELECT doc_id, n_bytes, bytes AS payload_bytes, sha256(unhex(payload)) AS payload_sha256, {crc} AS tail_crc32, octet_length(file)::BIGINT AS media_bytes, sha256(file) AS media_sha256,
+'soun/raw  scale={RATE} duration=' || bytes || ' samples=' || n || ' keyframes=' || c || ' ranges=' || {keys} AS feature FROM f"""
+
+
 QUERIES = {"op3_media": op3_media}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_media": _oracle()}

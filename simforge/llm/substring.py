@@ -345,4 +345,12 @@ def brute_force(rows: list[tuple[int | None, str | None]], width: int = WIDTH) -
 
 
 QUERIES = {"op2_substring": op2_substring}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_substring": f"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x09-\\x0D\\x20]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + {WIDTH - 1}], ' ') AS k FROM d, LATERAL (SELECT unnest(range(1, len(w) - {WIDTH - 2})) AS i)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS place FROM later, range({WIDTH}) t(j)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS t FROM words ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+}

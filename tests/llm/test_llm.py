@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -85,16 +86,78 @@ def test_media_round_trip(n):
 def test_broken_media_give_an_error_and_no_crash():
     data = media.store_pcm(bytes(5 * 576))
     rng = random.Random(0)
-    for _ in range(300):
+    for _ in range(3000):
         x = bytearray(data[: rng.randint(0, len(data))] if rng.random() < 0.5 else data)
         for _ in range(rng.randint(0, 6)):
             if x:
                 x[rng.randrange(min(len(x), 620))] = rng.randrange(256)
         media.tracks(bytes(x))
+        try:
+            media.payload(bytes(x))
+        except media.Fault:
+            pass
     assert media.tracks(b"") == ([], "empty") and media.tracks(None) == ([], "empty")
     assert media.tracks(data[:-1])[1] == "samples beyond the end of the file"
 
 
+def test_nested_boxes_of_any_depth():
+    inner = b""
+    for _ in range(3000):
+        inner = media._box(b"udta", inner)
+    assert media.tracks(media._box(b"moov", media._box(b"trak", inner)))[1] is None
+
+
+def fragmented(sizes, first_flags=None):
+    """A file whose one track has its samples in two fragments, sized by runs, by defaults and with each way to say where they lie."""
+    tkhd = media._full_box(b"tkhd", 0, 7, bytes(8), struct.pack(">I", 9), bytes(60))
+    stbl = media._box(b"stbl", media._full_box(b"stsz", 0, 0, struct.pack(">II", 0, 0)))
+    moov = media._box(b"moov", media._box(b"trak", tkhd, media._box(b"mdia", media._box(b"minf", stbl))), media._box(b"mvex", media._full_box(b"trex", 0, 0, struct.pack(">5I", 9, 1, 10, 7, 0x10000))))
+    out, places = moov, []
+    for k, part in enumerate((sizes[:3], sizes[3:])):
+        flags = 0x201 | (4 if first_flags is not None else 0)
+        run = lambda at: media._full_box(b"trun", 0, flags, struct.pack(">Ii", len(part), at), struct.pack(">I", first_flags) if first_flags is not None else b"", *(struct.pack(">I", n) for n in part))  # noqa: B023, E731
+        moof = lambda at: media._box(b"moof", media._box(b"traf", media._full_box(b"tfhd", 0, 0x20000 if k else 0, struct.pack(">I", 9)), run(at)))  # noqa: B023, E731
+        head = moof(len(moof(0)) + 8)
+        at = len(out) + len(head) + 8
+        places += [at + sum(part[:i]) for i in range(len(part))]
+        out += head + media._box(b"mdat", bytes(sum(part)))
+    return out, places
+
+
+def test_fragments_and_small_sizes():
+    sizes = [5, 1, 9, 4, 4]
+    data, places = fragmented(sizes, 0)
+    (t,), error = media.tracks(data)
+    assert error is None and t["starts"].tolist() == places and t["sizes"].tolist() == sizes and t["sync"].tolist() == [0, 3] and t["duration"] == 50
+    assert media.tracks(fragmented(sizes)[0])[0][0]["sync"].tolist() == []
+    assert len(media.payload(data)) == sum(sizes)
+    for bits, body in ((4, bytes([0x12, 0x30])), (8, bytes([1, 2, 3])), (16, bytes([0, 1, 0, 2, 0, 3]))):
+        assert media._small_numbers(body, 0, len(body), bits, 3).tolist() == [1, 2, 3]
+    rng = random.Random(4)
+    for _ in range(2000):
+        x = bytearray(data[: rng.randint(0, len(data))] if rng.random() < 0.3 else data)
+        for _ in range(rng.randint(1, 5)):
+            if x:
+                x[rng.randrange(len(x))] = rng.choice([0, 1, 255, rng.randrange(256)])
+        media.tracks(bytes(x))
+        try:
+            media.payload(bytes(x))
+        except media.Fault:
+            pass
+
+
+def test_media_edges(spark):
+    empty = media.media_features(media.media_of_texts(frame(spark, [])))
+    assert empty.count() == 0
+    clash = frame(spark, [(1, "abc", 7, "k")], "doc_id long, text string, media int, feature string")
+    got = media.media_features(media.media_of_texts(clash), "_media")
+    r = got.first()
+    assert got.columns == ["doc_id", "text", "media", "feature", "_media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "_feature"]
+    assert (r["media"], r["feature"], r["payload_bytes"]) == (7, "k", 576)
+    damaged = frame(spark, [(1, b"x" * 40), (2, media.store_pcm(bytes(576))[:-1])], "i long, media binary")
+    assert [r["feature"][:6] for r in media.media_features(damaged).collect()] == ["error="] * 2
+
+
 def test_media_query_columns(spark):
     df = media.media_features(media.media_of_texts(frame(spark, [(1, "héllo"), (2, ""), (3, None), (4, "x" * 577)])))
     for r in df.collect():
