@@ -410,6 +410,60 @@ def test_pii(spark):
     assert pii.pseudonymise(frame(spark, [])).count() == 0
 
 
+def test_pii_of_persons(spark):
+    rows = [
+        (1, "Dr. Anna Keller met Mrs. Anna Keller."), (2, "Yesterday Anna Keller came; Keller left."), (3, "Anna went. Keller too."), (4, "Mr. Karl Keller and Karl Keller"),
+    ]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(frame(spark, rows)).collect()}
+    given, family = re.match(r"Dr\. (\w+) (\w+) met Mrs\. (\w+) (\w+)\.", got[1]["text"]).group(1, 2)
+    assert got[1]["text"] == f"Dr. {given} {family} met Mrs. {given} {family}." and given.endswith("a") and "Anna" != given
+    assert got[2]["text"] == f"Yesterday {given} {family} came; {family} left." and got[2]["entity_types"] == ["person"]
+    assert got[3]["text"] == rows[2][1]  # one name alone tells no person where no person is named
+    man = re.match(rf"Mr\. (\w+) {family} and (\w+) {family}$", got[4]["text"])
+    assert man[1] == man[2] and man[1].endswith("o")
+
+
+def test_pii_formats(spark):
+    rows = [
+        (1, "host de:ad:be:ef:ca:fe is up"), (2, "call 030 1234567 now"), (3, "version 1.2.3.4 and v1.2.3.4"), (4, "no card: 4944339490429606"),
+        (5, "fe:fe:fe:fe:fe:fe:fe:fe"), (6, "secret: abcdefgh"), (7, "DE44 5001 0517 5407 3249 31"), (8, "123-45-6789"),
+    ]
+    got = {r["doc_id"]: (r["text"], r["entity_types"]) for r in pii.pseudonymise(frame(spark, rows)).collect()}
+    assert [got[i][1] for i in range(1, 9)] == [["mac"], ["phone"], [], [], ["ipv6"], ["secret"], ["iban"], ["ssn"]]
+    forms = {1: r"host (?:[0-9a-f]{2}:){5}[0-9a-f]{2} is up", 2: r"call \d{3} \d{7} now", 5: r"(?:[0-9a-f]{2}:){7}[0-9a-f]{2}", 6: "secret: [a-z]{8}", 7: r"DE\d\d(?: \d{4}){4} \d\d", 8: r"\d{3}-\d\d-\d{4}"}
+    for i, t in rows:
+        assert (got[i][0] == t) == (i in (3, 4)) and re.fullmatch(forms.get(i, ".*"), got[i][0])
+
+
+def test_each_text_with_an_entity_has_the_hint(spark):
+    rng = random.Random(12)
+    pools = {"mac": "abcdef:-0", "ipv6": "abcdef:0", "email": "ab@.c", "person": "DrM. sAbc", "phone": "+0 1().-", "secret": "pwd=:abcd ", "access_key": "AKIAS9", "iban": "DE0 9A"}
+    rows = []
+    for pool in pools.values():
+        rows += ["".join(rng.choices(pool, k=rng.randint(4, 40))) for _ in range(300)]
+    rows += ["de:ad:be:ef:ca:fe", "aa-bb-cc-dd-ee-ff", ":".join(["abcd"] * 8), "x@y.z", "pwd=abcdef", "AKIA" + "A" * 16, "Mr Smith", "Frau Öhm", "TOKEN : abcdef"]
+    df = frame(spark, list(enumerate(rows)))
+    assert df.where(F.col("text").rlike(pii.ANY) & ~F.col("text").rlike(pii.HINT)).count() == 0
+    assert df.where(F.col("text").rlike(pii.ANY)).count() > 9
+
+
+def test_pii_edges(spark):
+    clash = frame(spark, [(1, MIXED, 3, "k", 1)], "doc_id long, text string, __new int, pii_digest string, n_entities int")
+    got = pii.pseudonymise(clash)
+    assert got.columns == ["doc_id", "text", "__new", "pii_digest", "n_entities", "_n_entities", "entity_types"]
+    assert got.first()["_n_entities"] == 8 and got.first()["__new"] == 3
+    long = "word " * 200_000 + "a@b.example"
+    r = pii.pseudonymise(frame(spark, [(1, long)])).first()
+    assert r["n_entities"] == 1 and r["text"].startswith(long[:1_000_000]) and not r["text"].endswith(" a@b.example")
+
+
+def test_pii_crowded_formats_stay_distinct(spark):
+    rows = [("ssn", f"{i}", 0) for i in range(8)] + [("email", f"{a}@b.com", 0) for a in "abcdefghijklmnopqrstuvwxyz"] + [("ipv4", f"1.1.1.{i}", 0) for i in range(5)]
+    got = pii.distinct_surrogates(spark.createDataFrame(rows, "kind string, norm string, keep int"), "k").collect()
+    assert len({(r["kind"], r["new"]) for r in got}) == len(rows)
+    assert not {(r["kind"], r["new"]) for r in got} & {r[:2] for r in rows}
+
+
 def test_pii_surrogates_are_distinct(spark):
     """Surrogates of single digits collide; the check draws again until no two entities share one and none is an entity."""
     rows = [("ssn", f"{i}", 0) for i in range(3)]
