@@ -1,7 +1,8 @@
 """Toxicity: a logistic classifier on word and word-stem presence, regularised by counterfactuals.
 
 Each labelled sentence that names an identity term is written again with the term exchanged for another of its group.  The
-loss adds `swap_penalty` times the squared change of the logit, so that a neutral mention of a group moves no score.
+loss adds `swap_penalty` times the squared change of the logit, so that a neutral mention of a group moves no score.  The
+change depends only on the features that the exchange takes and gives; such pairs are counted before they leave a task.
 
 The fit takes at most `max_rows` labelled rows, those with the least hash of the id (a bounded sample, as a parameter).
 Features are chosen over that sample by a distributed count of documents per class: those whose shares in the two classes
@@ -9,7 +10,9 @@ are at least `min_z` standard deviations apart.  The `n_features` chosen ones an
 
 Defined results: a null or empty text gets the score of a text without features; a null id belongs to the rows with the
 remainder of the empty text; labels that are null are not learnt from, and of several labels of one id the largest holds;
-repeated rows are each scored; without any labels all scores are 0; other columns pass through.
+rows with the same id and text are learnt from once, and repeated rows are each scored; without any labels, or with labels
+of 0 alone, all scores are 0, with labels of 1 alone all are 1; weights below 1e-3, which change no score by more than
+0.001 each, are left out of the model; texts of any length are scored whole; other columns pass through.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ IDENTITY = (
     ("black", "white", "asian", "latino", "arab"), ("african", "european", "american", "chinese", "mexican", "indian"),
     ("gay", "straight", "lesbian", "bisexual", "queer"), ("transgender", "cisgender"),
     ("immigrant", "native"), ("immigrants", "natives"), ("disabled", "deaf", "blind"), ("old", "young"),
+    ("he", "she"), ("him", "her"), ("his", "hers"), ("himself", "herself"), ("er", "sie"), ("ihn", "ihr"), ("il", "elle"), ("ils", "elles"), ("él", "ella"), ("ellos", "ellas"),
     ("frau", "mann"), ("frauen", "männer"), ("femme", "homme"), ("femmes", "hommes"), ("mujer", "hombre"), ("mujeres", "hombres"),
 )
 
@@ -45,8 +49,8 @@ class Settings:
     max_rows: int = 20_000
     n_features: int = 8_192
     min_docs: int = 4
-    min_z: float = 4.0
-    ridge: float = 1e-6
+    min_z: float = 5.0
+    ridge: float = 1e-5
     swap_penalty: float = 1.0
     steps: int = 800
     threshold: float = 0.7
@@ -113,16 +117,18 @@ def _rows(chosen: dict[str, int], identity):
 
     def run(batches):
         for batch in batches:
-            ys, xs, pairs = [], [], []
+            ys, xs, pairs = [], [], Counter()
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
                 ys.append(y)
                 xs.append(code(features(text)))
-                two = []
                 for s in _SENTENCE.split((text or "").lower()):
                     if (t := swap(s)) != s:
-                        two += [code(features(s)), code(features(t))]
-                pairs.append(two)
-            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(xs, pa.binary()), pa.array(pairs, pa.list_(pa.binary()))], names=["y", "x", "pairs"])
+                        a, b = features(s), features(t)
+                        pairs[code(a - b), code(b - a)] += 1
+            pairs.pop((b"", b""), None)
+            n, m = len(ys), len(pairs)
+            both, times = list(pairs), [pairs[k] for k in pairs]
+            yield pa.RecordBatch.from_arrays([pa.array(ys + [None] * m, pa.int32()), pa.array(xs + [a for a, _ in both], pa.binary()), pa.array([None] * n + [b for _, b in both], pa.binary()), pa.array([None] * n + times, pa.int64())], names=["y", "x", "other", "n"])
 
     return run
 
@@ -132,8 +138,10 @@ def _flat(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.int32), *parts]), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
 
 
-def fit_rows(ys: np.ndarray, xs: list[bytes], pairs: list[tuple[bytes, bytes]], n: int, s: Settings) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch Adam on class-balanced log loss, ridge and the squared logit change of each pair."""
+def fit_rows(ys: np.ndarray, xs: list[bytes], pairs: dict[tuple[bytes, bytes], int], n: int, s: Settings) -> tuple[np.ndarray, float]:
+    """Weights and bias by full-batch Adam on class-balanced log loss, ridge and the squared logit change of each pair, as often as it occurs."""
+    times = np.array(list(pairs.values()), dtype=float)
+    pairs = list(pairs)
     col, row = _flat(xs)
     a_col, a_row = _flat([p[0] for p in pairs])
     b_col, b_row = _flat([p[1] for p in pairs])
@@ -147,7 +155,7 @@ def fit_rows(ys: np.ndarray, xs: list[bytes], pairs: list[tuple[bytes, bytes]],
         g = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - ys)
         grad = np.append(np.bincount(col, g[row], n) + 2 * s.ridge * w, g.sum())
         if pairs:
-            d = (np.bincount(a_row, w[a_col], len(pairs)) - np.bincount(b_row, w[b_col], len(pairs))) * (2 * s.swap_penalty / len(pairs))
+            d = (np.bincount(a_row, w[a_col], len(pairs)) - np.bincount(b_row, w[b_col], len(pairs))) * (2 * s.swap_penalty * times / times.sum())
             grad[:n] += np.bincount(a_col, d[a_row], n) - np.bincount(b_col, d[b_row], n)
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
@@ -176,14 +184,16 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
         top = counts.where((F.col("n0") + F.col("n1") >= s.min_docs) & (far >= s.min_z)).select("f", "n0", "n1").orderBy(far.desc(), "f").limit(s.n_features)
         names = [r["f"] for r in top.collect()]
         names += sorted({f for g in s.identity for t in g for f in features_of(t)} - set(names))
-        got = rows.mapInArrow(_rows({f: i for i, f in enumerate(names)}, s.identity), "y int, x binary, pairs array<binary>").toArrow()
+        got = rows.mapInArrow(_rows({f: i for i, f in enumerate(names)}, s.identity), "y int, x binary, other binary, n long")
+        got = got.groupBy("y", "x", "other").agg(F.sum(F.coalesce("n", F.lit(1))).alias("n")).toArrow()
     finally:
         rows.unpersist()
-    xs = got.column("x").to_pylist()
-    ys = got.column("y").to_numpy()
-    pairs = [(p[i], p[i + 1]) for p in got.column("pairs").to_pylist() for i in range(0, len(p), 2)]
-    order = sorted(range(len(xs)), key=lambda i: (ys[i], xs[i]))  # so that the order of tasks changes no digit
-    w, b = fit_rows(ys[order], [xs[i] for i in order], sorted(pairs), len(names), s)
+    # in order, so that the order of tasks changes no digit
+    rows_of = sorted(zip(got.column("y").to_pylist(), got.column("x").to_pylist(), got.column("other").to_pylist(), got.column("n").to_pylist()), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or b""))
+    own = [r for r in rows_of if r[0] is not None]
+    ys = np.repeat([r[0] for r in own], [r[3] for r in own])
+    xs = [r[1] for r in own for _ in range(r[3])]
+    w, b = fit_rows(ys, xs, {(r[1], r[2]): r[3] for r in rows_of if r[0] is None}, len(names), s)
     return Model({f: float(x) for f, x in zip(names, w) if abs(x) > 1e-3}, b, s)
 
 
@@ -217,5 +227,39 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= model.settings.threshold, 1).otherwise(0).alias("predicted"))
 
 
+def cross_validated(docs: DataFrame, labels: DataFrame, choices: list[Settings], folds: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[Settings, int, int, int]]:
+    """For each choice: toxic rows found, toxic rows, and others flagged, over folds (by a hash of the id) of the rows that may be learnt from.
+
+    The settings' defaults were chosen by this; held-out rows take no part in it.
+    """
+    known = learnable(labels.where(F.col(label_col).isNotNull()), id_col)
+    fold = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(folds))
+    out = []
+    for s in choices:
+        sums = np.zeros(3, np.int64)
+        for k in range(folds):
+            model = fit(docs, known.where(fold != k), s, id_col, text_col, label_col)
+            test = docs.join(known.where(fold == k).select(F.col(id_col), F.col(label_col).alias("truth")), id_col)
+            hit = F.col("model_score") >= s.threshold
+            r = score(test, model, text_col, "model_score").agg(F.sum((hit & (F.col("truth") == 1)).cast("int")), F.sum((F.col("truth") == 1).cast("int")), F.sum((hit & (F.col("truth") == 0)).cast("int"))).first()
+            sums += np.array([x or 0 for x in r])
+        out.append((s, *sums.tolist()))
+    return out
+
+
+def swap_gap(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """One row: the texts that name an identity term, and how far on average and at most an exchange of terms moves their scores."""
+    swap = swapper(model.settings.identity)
+
+    def run(batches):
+        for batch in batches:
+            low = [(t or "").lower() for t in batch.column(0).to_pylist()]
+            named = [(t, x) for t in low if (x := swap(t)) != t]
+            gap = np.abs(model.score([t for t, _ in named]) - model.score([x for _, x in named])) if named else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([pa.array(gap)], names=["gap"])
+
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "gap double").agg(F.count("gap").alias("texts"), F.avg("gap").alias("mean_gap"), F.max("gap").alias("most_gap"))
+
+
 QUERIES = {"op1_toxicity": op1_toxicity}
 ORACLE: dict[str, str] = {}

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -543,6 +544,63 @@ def test_main_text(spark, tag):
     assert html.extract(PAGE % (tag, tag), {"word": {}, "tag": {}}).count("paragraph ends the article") == 1
 
 
+def test_best_stretch_is_best():
+    rng = random.Random(3)
+    for _ in range(300):
+        scores = [rng.choice([-3, -1, -0.5, 0, 1, 2]) for _ in range(rng.randint(0, 25))]
+        a, b = html.best_stretch(scores)
+        assert sum(scores[a:b]) == max(sum(scores[i:j]) for i in range(len(scores) + 1) for j in range(i, len(scores) + 1))
+
+
+LEAD = "The lead has enough words to be read as the text of an article by anyone."
+END = "And this closing paragraph of the article has enough words in it as well, so that it is text."
+
+
+@pytest.mark.parametrize("around", ["article", 'div class="story"'])
+@pytest.mark.parametrize(
+    "inner, lines",
+    [
+        ("<header><h1>Head line</h1></header><p>%s</p>", ["Head line", LEAD]),
+        ('<div class="section-header">What it says</div><p>%s</p>', ["What it says", LEAD]),
+        ('<p class="social-policy">%s</p>', [LEAD]),
+        ("<p>%s</p><ul><li>one thing</li><li>two things</li></ul><table>" + "<tr><td>1</td><td>x</td></tr>" * 20 + "</table>", [LEAD, "one thing", "two things", *["1", "x"] * 20]),
+        ("<p>%s</p>" + "<hr>" * 30, [LEAD]),
+        ('<p>%s</p><div class="ad-box">Buy now</div><aside>Also read <a href="x">this</a></aside><div id="comments-list">So true, I say</div>', [LEAD]),
+        ("<p>%s</p><math><mi>x</mi></math><noscript><p>Seen without scripts</p></noscript>", [LEAD, "x", "Seen without scripts"]),
+        ("<blockquote><p>%s</p></blockquote><pre>a  b</pre><dl><dt>term<dd>sense</dl>", [LEAD, "a b", "term", "sense"]),
+    ],
+)
+def test_parts_of_articles_are_kept(around, inner, lines):
+    """What articles hold stays, with weights learned from pages that have none of it; a header that is not marked off by an article or a learned class is left out."""
+    counts = html.count(PAGE % ("article", "article"))
+    weights = html.weights_of([(*k, counts[*k, True], counts[*k, False]) for k in sorted({k[:2] for k in counts})])
+    page = f"<html><body><nav><a href=a>Home</a><a href=b>News</a></nav><{around}>{inner % LEAD}<p>{END}</p></{around.split()[0]}><footer>Site words here</footer></body></html>"
+    want = [x for x in [*lines, END] if around == "article" or x != "Head line"]
+    assert html.extract(page, weights).split("\n") == want
+
+
+def test_pages_with_a_main_role_are_learned_from(spark):
+    page = '<body><div role="main"><div class="body-text"><p>%s</p></div></div><div class="rail"><p>%s</p></div></body>' % (LEAD, END)
+    weights = html.learn(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"))
+    assert weights["word"]["div.body-text"] > 0 > weights["word"]["div.rail"]
+    assert html.extract(page.replace(' role="main"', ""), weights) == LEAD
+
+
+def test_html_nesting_and_references():
+    none = {"word": {}, "tag": {}}
+    began = time.perf_counter()
+    deep = "<div>" * 50_000 + "word " * 200_000 + "<p>x" * 20_000
+    assert html.extract(deep, none).startswith("word word") and html.count("<article>" + deep) and time.perf_counter() - began < 20
+    assert html.extract("<p>a &amp<b>lt;</b> b &amp;lt; &eacute;&#x41; &nosuch;", none) == "a &lt; b &lt; \u00e9A &nosuch;"
+    assert html.extract("<table><tr><td>a<td>b<tr><td>c</table><ul><li>d<ul><li>e</ul><li>f</ul>", none) == "a\nb\nc\nd\ne\nf"
+
+
+def test_html_clashing_names(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>one", 5, 6)], "page_id long, url string, html string, main_text int, c0 int")
+    got = html.main_text(pages, html.learn(pages))
+    assert got.columns == ["page_id", "url", "html", "main_text", "c0", "_main_text"] and tuple(got.first()[-3:]) == (5, 6, "one")
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<"), (4, "u", "<p"), (5, "u", "<script>x"), (6, "u", "a < b &amp;amp; c"), (7, "u", "<!-- open"), (8, "u", "<p>one</p><p>two<br>three")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -581,6 +639,24 @@ def test_toxicity_generalises_and_swaps_matter(spark):
     assert fair[9002] == fair[9003]
 
 
+def test_toxicity_one_class_and_long_texts(spark):
+    docs = frame(spark, [(1, "a b"), (2, "c " * 300_000), (3, None)])
+    for y, want in ((1, 1.0), (0, 0.0)):
+        labels = spark.createDataFrame([(1, y), (2, y)], "doc_id long, toxic int")
+        assert [r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()] == pytest.approx([want] * 3)
+
+
+def test_toxicity_repeated_rows_and_swap_gap(spark):
+    rows = labelled(2, 400)
+    docs, labels = frame(spark, [r[:2] for r in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert toxicity.fit(docs.union(docs), labels) == model
+    gaps = [toxicity.swap_gap(docs, m).first() for m in (model, toxicity.fit(docs, labels, toxicity.Settings(swap_penalty=0.0)))]
+    assert gaps[0]["texts"] > 50 and gaps[0]["mean_gap"] <= gaps[1]["mean_gap"] and gaps[0]["most_gap"] < 0.2
+    (_, found, toxic, wrong), = toxicity.cross_validated(docs, labels, [toxicity.Settings()], 2)
+    assert found > 0.9 * toxic and wrong < 5
+
+
 def test_toxicity_edges(spark):
     docs = frame(spark, [(1, "a", 0.5)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, toxic int")
