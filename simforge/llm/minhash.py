@@ -9,19 +9,23 @@ followed only until all components of a document are filled.
 Signatures are cut into bands.  In each bucket of a band the document with the least id is the hub.  Each document is
 verified, by the exact multisets, against the hub with which it has most bands in common.  Buckets that still hold several
 classes are then searched across classes, in squares of bounded size, by products of sparse incidence matrices; a square
-gives links that span what it joins, not all its pairs.  So every pair with a band in common whose similarity is at least
-`SIMILAR` ends in one class.
+gives links that span what it joins, not all its pairs, and members of one class are not compared again.  So every pair with
+a band in common whose similarity is at least `SIMILAR` ends in one class.
+
+Copies of a text are one node from the first exchange on, of which tasks send one row each; rows of a hot node, hub or band
+are dealt over `SPREAD` tasks in the joins.
 
 Defined results: a null text counts as empty; equal texts are one class, also those without words, and texts without words
 are near no other; class_id is the least doc_id of the class (null ids count last, and are the class_id of a class that
-has no other); repeated rows get the same class; other columns pass through.
+has no other); repeated rows get the same class; an empty table gives no rows; texts of any length are compared whole (a
+very long one stands alone in a block); other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simforge.llm.common import NULL_ID, chunks, cut, fresh, mix, run_hashes, table, words_of
@@ -32,6 +36,8 @@ BANDS, ROWS = 20, 4
 M = BANDS * ROWS
 #: Texts of a bucket that are compared with as many others in one group.
 SQUARE = 512
+#: Rows of one key are dealt over so many tasks in joins.
+SPREAD = 16
 #: Up to so many links, one task joins them to components; beyond, stars do, by rounds.
 FEW_LINKS = 500_000
 _U = np.uint64
@@ -222,6 +228,39 @@ def _across(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
+def spread(left: DataFrame, right: DataFrame, key: str, by: Column, how: str = "inner") -> DataFrame:
+    """left.join(right, key) with left's rows of one key dealt over SPREAD tasks by a hash of by.
+
+    A key's row of right goes only to those tasks that have rows of left for it, of which tasks tell each other once.
+    """
+    part = fresh(left, "spread_part")
+    left = left.withColumn(part, F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int"))
+    there = left.select(key, part).distinct()
+    return left.join(there.join(right, key), [key, part], how).drop(part)
+
+
+def _sides(inside: DataFrame) -> DataFrame:
+    """(band, lo, hi, side, node, root): the squares in which what is left of buckets (band, node, root) is compared.
+
+    Classes of more than SQUARE texts in a bucket have sides of their own, smaller ones share sides; two sides make a square
+    unless both are of one class, so that members of a class are not compared with one another.
+    """
+    classes = cut(inside.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")))
+    pools = classes.groupBy("band").agg(F.ceil(F.sum(F.when(F.col("n") <= SQUARE, F.col("n")).otherwise(0)) / SQUARE).cast("int").alias("n_pools"))
+    classes = classes.join(pools, "band").withColumn("n_sides", F.ceil(F.col("n") / SQUARE).cast("int"))
+    large = F.col("n") > SQUARE
+    sides = classes.select("band", F.when(large, F.col("root")).alias("own"), F.explode(F.when(large, F.sequence(F.lit(0), F.col("n_sides") - 1)).otherwise(F.array(F.pmod(F.xxhash64("root"), F.col("n_pools")).cast("int")))).alias("k")).distinct()
+    named = sides.select("band", "own", F.xxhash64("own", "k").alias("side"))
+    other = named.select(F.col("band").alias("band2"), F.col("own").alias("own2"), F.col("side").alias("side2"))
+    squares = named.join(other, (F.col("band") == F.col("band2")) & (F.col("side") <= F.col("side2")) & (F.col("own").isNull() | F.col("own2").isNull() | (F.col("own") != F.col("own2"))))
+    squares = squares.select("band", F.col("side").alias("lo"), F.col("side2").alias("hi"))
+    ends = squares.select("band", F.col("lo").alias("side"), "lo", "hi").union(squares.where("lo != hi").select("band", F.col("hi").alias("side"), "lo", "hi"))
+    sizes = classes.select("band", "root", "n", "n_sides", "n_pools")
+    at = F.when(large, F.xxhash64("root", F.pmod(F.xxhash64("node"), F.col("n_sides")).cast("int"))).otherwise(F.xxhash64(F.lit(None).cast("binary"), F.pmod(F.xxhash64("root"), F.col("n_pools")).cast("int")))
+    placed = inside.join(sizes, ["band", "root"]).select("band", "node", "root", at.alias("side"))
+    return placed.join(ends, ["band", "side"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with class_id and is_first (the row may stay: it is of the class's first text by id and hash, and, of rows equal in both, each)."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -231,35 +270,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = cut(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     members = nodes.where("n > 0").select(F.explode("bands").alias("band"), "id", "node")
     hubs = members.groupBy("band").agg(F.min(F.struct("id", "node")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    spokes = cut(members.join(hubs, "band").select("band", "node", F.col("hub.id").alias("hub_id"), F.col("hub.node").alias("hub"), "size"))
-    texts = cut(keyed.join(spokes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    spokes = cut(spread(members, hubs, "band", F.col("node")).select("band", "id", "node", F.col("hub.id").alias("hub_id"), F.col("hub.node").alias("hub")))
+    # one row of each text that has company: copies lie apart, as their ids differ
+    texts = cut(keyed.join(spokes.select("node", "id").distinct(), ["node", "id"], "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     # each node with the hub it meets most often
     met = spokes.where("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("bands"), F.first("hub_id").alias("hub_id"))
     pairs = met.groupBy("node").agg(F.min(F.struct(-F.col("bands"), "hub_id", "hub")).alias("h")).select(F.col("h.hub").alias("a"), F.col("node").alias("b"))
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    with_hub = spread(pairs, texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a", F.col("b"))
+    both = with_hub.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     links = cut(both.mapInArrow(_verify, "a binary, b binary"))
     root = cut(components(links))
 
     def rooted(df: DataFrame) -> DataFrame:
-        return df.join(root.select(F.col("node").alias("__n"), F.col("root").alias("__r")), F.col("node") == F.col("__n"), "left").withColumn("root", F.coalesce("__r", "node")).drop("__n", "__r")
+        ends = root.select(F.col("node").alias("root_of"), F.col("root").alias("its_root"))
+        return df.join(ends, F.col("node") == F.col("root_of"), "left").withColumn("root", F.coalesce("its_root", "node")).drop("root_of", "its_root")
 
     # what is left between classes of a bucket
-    inside = cut(rooted(spokes.select("band", "node", "size")))
+    inside = cut(rooted(spokes.select("band", "node")))
     mixed = inside.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("band")
-    inside = inside.join(mixed, "band", "left_semi").withColumn("n_sides", F.ceil(F.col("size") / SQUARE).cast("int")).withColumn("side", F.pmod(F.xxhash64("node"), F.col("n_sides")).cast("int"))
-    inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_sides") - 1))).withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")})
-    more = cut(inside.join(texts, "node").select("band", "lo", "hi", "side", "node", "root", "text").groupBy("band", "lo", "hi").applyInArrow(_across, "a binary, b binary"))
+    squares = _sides(spread(inside, mixed, "band", F.col("node")))
+    more = cut(squares.join(texts, "node").select("band", "lo", "hi", "side", "node", "root", "text").groupBy("band", "lo", "hi").applyInArrow(_across, "a binary, b binary"))
     if not more.isEmpty():
         root = cut(components(links.union(more)))
-    order = F.struct("id", "node")
     classed = rooted(nodes.select("id", "node"))
-    leads = classed.groupBy("root").agg(F.min(order).alias("lead"))
-    classes = classed.join(leads, "root").select(F.col("node").alias("__node"), F.col("lead.id").alias("__class"), ((F.col("lead.node") == F.col("node")) & (F.col("lead.id") == F.col("id"))).alias("__lead"))
+    leads = classed.groupBy("root").agg(F.min(F.struct("id", "node")).alias("lead"))
+    n, i, of_class, is_lead = (fresh(docs, x) for x in ("near_node", "near_id", "near_class", "near_lead"))
+    lead = (F.col("lead.node") == F.col("node")) & (F.col("lead.id") == F.col("id"))
+    classes = spread(classed, leads, "root", F.col("node")).select(F.col("node").alias(n), F.col("lead.id").alias(of_class), lead.alias(is_lead))
     outs = {c: fresh(docs, c) for c in ("class_id", "is_first")}
-    n, i = fresh(docs, "near_node"), fresh(docs, "near_id")
-    done = docs.withColumns({n: node, i: key_id}).join(classes, F.col(n) == F.col("__node"))
-    lead = F.col("__lead") & (F.col(i) == F.col("__class"))
-    return done.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(F.col("__class") != NULL_ID, F.col("__class")).alias(outs["class_id"]), lead.alias(outs["is_first"]))
+    done = spread(docs.withColumns({n: node, i: key_id}), classes, n, F.col(i))
+    lead = F.col(is_lead) & (F.col(i) == F.col(of_class))
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(F.col(of_class) != NULL_ID, F.col(of_class)).alias(outs["class_id"]), lead.alias(outs["is_first"]))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

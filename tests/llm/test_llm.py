@@ -216,6 +216,24 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, few):
     assert all(first == (i == c) for i, (c, first) in got.items())
 
 
+def test_large_buckets_of_several_classes(spark, monkeypatch):
+    """Squares of few texts, so that classes of a bucket have sides of their own; two classes are joined by one text between them."""
+    monkeypatch.setattr(minhash, "SQUARE", 4)
+    rng = random.Random(11)
+    base = rng.choices(WORDS, k=120)
+    rows = [" ".join([*base, f"tail{i}"]) for i in range(30)]  # one class
+    for i in range(25):  # near one another, and some of them near the first class
+        w = base[:]
+        for j in range(2 + i % 5):
+            w[7 * j + 3] = f"odd{j}"
+        rows.append(" ".join(w))
+    rows += texts(13, 20, 0, 100)
+    rows = list(enumerate(rows)) + [(0, rows[0])] * 40
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    want = brute_classes(rows[:75])
+    assert got == dict(enumerate(want))
+
+
 def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
     got = minhash.near_duplicates(frame(spark, [(None, "a b c d e f", 1), (None, "a b c d e f", 1)], "doc_id long, text string, class_id int"))
