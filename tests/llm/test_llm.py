@@ -503,7 +503,7 @@ def test_lm_counts_and_gain(spark):
     rows = [(i, " ".join(rng.choices(languages[i % 3], k=60)) + (" RARE%d" % i)) for i in range(400)] + [(400, ""), (401, None), (3, rng.choice(["x", "y"]))]
     docs = frame(spark, rows).withColumn("held_out", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0)
     model = lm.fit(docs.where("not held_out"))
-    got = lm.score(docs, model, ~F.col("held_out")).collect()
+    got = lm.score(docs, model).collect()
     counts = Counter()
     split = lambda t: [*(t or "").encode().lower().split(), None]
     for i, t in rows:
@@ -524,23 +524,60 @@ def test_lm_rare_tokens_meet_again(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(texts(9, 30, 0, 50))] * 2
     docs = frame(spark, rows)
     counts = Counter(x for _, t in rows for x in [*t.split(), None])
-    for r in lm.score(docs, lm.fit(docs), F.lit(True)).collect():
+    for r in lm.score(docs, lm.fit(docs)).collect():
         w = [*r["text"].split(), None]
         assert r["n_known"] == len(w) and r["base_score"] == pytest.approx(sum(np.log10((counts[x] + 0.1) / (sum(counts.values()) + 0.1 * (len(counts) + 1))) for x in w))
 
 
 def test_lm_without_training_documents(spark):
     docs = frame(spark, [(1, "a b"), (2, None)])
-    got = lm.score(docs, lm.fit(docs.limit(0)), F.lit(False)).collect()
+    got = lm.score(docs, lm.fit(docs.limit(0))).collect()
     assert [(r["n_known"], r["train_tokens"], r["base_score"]) for r in got] == [(0, 0, 0.0), (0, 0, 0.0)]
-    assert lm.score(docs.limit(0), lm.fit(docs), F.lit(True)).count() == 0
+    assert lm.score(docs.limit(0), lm.fit(docs)).count() == 0
 
 
-def test_lm_probabilities_sum_to_one():
-    model = lm.Model(0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(lm.UNITS, int), np.zeros(lm.CLASSES), np.zeros(lm.CLASSES), tuple(np.random.default_rng(0).standard_normal((1 << b, lm.CLASSES)).astype(np.float32) for b in lm.BITS), np.zeros(lm.CLASSES, np.float32))
+def test_lm_probabilities_sum_to_one(spark):
+    """Over all classes and members; and over all words, seen or not, where a class's rest is shared out."""
+    docs = frame(spark, [(i, t) for i, t in enumerate(texts(4, 60, 5, 60, WORDS[:90] + ["x%d" % i for i in range(400)]))])
+    model = lm.fit(docs)
     words, first = np.arange(5, dtype=np.uint64), np.array([0, 5])
-    p = sum(10 ** lm.class_scores(words, first, np.full(5, k), model) for k in range(lm.CLASSES))
-    assert p == pytest.approx(np.ones(5), abs=1e-5)
+    choice = np.stack([lm.choice_scores(words, first, np.full(5, k), np.full(5, j), model) for k in range(lm.CLASSES) for j in range(lm.MEMBERS)])
+    assert (10**choice).sum(axis=0) == pytest.approx(np.ones(5), abs=1e-5)
+    each = [t.encode() for t in sorted({w for r in docs.collect() for w in r["text"].split()})]
+    hashed, units, _, at = lm.tokens(each)
+    own = np.setdiff1d(np.arange(len(hashed)), at[1:] - 1)
+    seen, classes = np.append(hashed[own], lm._END), np.append(model.class_of[units[own]], model.class_of[lm.END_UNIT])
+    members, (place, known) = model.members(seen), model.places(seen)
+    assert known.all() and len(seen) == model.v
+    inside = np.where(members > 0, 0, np.log10(model.counts[place] + lm.SMOOTH) - model.denominators()[classes])
+    p = 10 ** (lm.choice_scores(seen, np.array([0, len(seen)]), classes, members, model) + inside)  # any history: sums differ by it
+    one = 10 ** (np.array([choice[c * lm.MEMBERS + j, 0] for c, j in zip(classes, members)]) + inside)
+    unseen = 10 ** np.array([choice[c * lm.MEMBERS, 0] for c in range(lm.CLASSES)]) * lm.SMOOTH / 10 ** model.denominators()
+    assert one.sum() + unseen.sum() == pytest.approx(1, abs=1e-4) and (p > 0).all()
+
+
+def test_lm_scores_new_rows_alone(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TOP", 8)
+    rows = list(enumerate(texts(21, 80, 0, 60)))
+    docs = frame(spark, rows)
+    model = lm.fit(docs)
+    new = docs.where("doc_id % 9 = 0")
+    key = lambda r: (r["doc_id"], r["n_known"], r["n_tokens"], round(r["base_score"], 8), round(r["score"], 8))
+    assert {key(r) for r in lm.score(new, model).collect()} <= {key(r) for r in lm.score(docs, model).collect()}
+    clash = frame(spark, [(1, "w1 zz", 5, 6)], "doc_id long, text string, score int, id int")
+    got = lm.score(clash, model)
+    assert got.columns == ["doc_id", "text", "score", "id", "n_tokens", "n_known", "train_tokens", "base_score", "_score"]
+    assert (got.first()["n_tokens"], got.first()["n_known"]) == (3, 2)
+
+
+def test_lm_learns_the_word_after_a_word(spark):
+    """Two words of one ending, each after a word of its own: features tell them apart inside their class."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(x for _ in range(30) for x in rng.choice([("left", "aaing"), ("right", "bbing")]))) for i in range(200)]
+    docs = frame(spark, rows)
+    model = lm.fit(docs)
+    got = {r["text"]: r["score"] for r in lm.score(frame(spark, [(1, "left aaing"), (2, "left bbing")]), model).collect()}
+    assert got["left aaing"] > got["left bbing"] + 0.3
 
 
 # ---------------------------------------------------------------------- html
