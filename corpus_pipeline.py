@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simforge.llm import decontaminate, minhash, mixing, sharding, toxicity
-from simforge.llm.common import cut, table
+from simforge.llm.common import cut, fresh, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +36,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources at their target weights: each document as often as the mix takes it."""
     columns = docs.columns
-    narrow = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("code"))
-    taken = mixing.mix(narrow, "source", "size", ["doc_id", "code"]).where("copies > 0")
+    key, size, copies = fresh(docs, "row_key"), fresh(docs, "size"), fresh(docs, "copies")
     # rows equal in id, source and text are interchangeable: their copies are added up and dealt out to one of them
-    taken = taken.groupBy("doc_id", "source", "code").agg(F.sum("copies").cast("int").alias("copies")).withColumnsRenamed({"doc_id": "i", "source": "s", "code": "c"})
-    one = docs.withColumn("c0", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "c0"])
-    joined = one.join(taken, F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("c0") == F.col("c")))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*columns)
+    row = F.md5(F.concat_ws("|", *[F.coalesce(F.md5(F.col(c).cast("string").cast("binary")), F.lit("null")) for c in ("doc_id", "source", "text")]).cast("binary"))
+    docs = docs.withColumn(key, row)
+    narrow = cut(docs.select(F.col(key).alias("row_key"), "source", mixing.n_words(F.col("text")).alias("size")))
+    taken = mixing.mix(narrow, "source", "size", ["row_key"]).where("copies > 0").groupBy(F.col("row_key").alias(key)).agg(F.sum("copies").cast("int").alias(copies))
+    joined = docs.dropDuplicates([key]).join(taken, key)
+    return joined.withColumn(size, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*columns)
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
