@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simforge.functions.hashing import subtree_hash
-from simforge.operators.pairs import shared_dice
+from simforge.operators.pairs import bag_dice
 from simforge.operators.storage import saved
 
 # Leaf types whose label is marked, so that names and literal values don't count.
 LEAVES = ("identifier", "number_literal", "string_literal", "char_literal", "float_literal", "true", "false")
+BAGS = "problem string, file string, key string, w long"
+#: Rows of an Arrow batch, more or less: the files of one batch are not cut.
+BATCH = 1 << 14
 NODES = "problem string, file string, node_id long, parent_id long, depth int, type string"
 
 
@@ -39,14 +42,26 @@ def brackets(code: str) -> Iterator[tuple[int, int | None, int, str]]:
         n += 1
 
 
+def _batch(columns: list[list], ddl: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+    names, types = zip(*(x.split() for x in ddl.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(columns, types)], names=list(names))
+
+
 def parse(files: DataFrame, parser: Callable[[str], Iterator] = brackets) -> DataFrame:
     """Node table of files (problem, file, code); parser gives (node, parent, depth, type) of a text."""
 
     def run(batches):
         for batch in batches:
+            out: list[list] = [[] for _ in range(6)]
             for p, f, c in zip(*(batch.column(x).to_pylist() for x in ("problem", "file", "code"))):
-                rows = list(parser(c or ""))
-                yield pa.RecordBatch.from_arrays([pa.array([p] * len(rows), pa.string()), pa.array([f] * len(rows), pa.string()), *(pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.string())))], names=["problem", "file", "node_id", "parent_id", "depth", "type"])
+                for row in parser(c or ""):
+                    for column, x in zip(out, (p, f, *row)):
+                        column.append(x)
+                if len(out[0]) >= BATCH:
+                    yield _batch(out, NODES)
+                    out = [[] for _ in range(6)]
+            yield _batch(out, NODES)
 
     return files.select("problem", "file", "code").mapInArrow(run, NODES)
 
@@ -100,13 +115,19 @@ def tree_bags(files: DataFrame, parser: Callable[[str], Iterator] = brackets) ->
 
     def run(batches):
         for batch in batches:
+            out: list[list] = [[] for _ in range(4)]
             for p, f, c in zip(*(batch.column(x).to_pylist() for x in ("problem", "file", "code"))):
                 b = bag(c)
-                yield pa.RecordBatch.from_arrays([pa.array([p] * len(b), pa.string()), pa.array([f] * len(b), pa.string()), pa.array(list(b)), pa.array(list(b.values()), pa.int64())], names=["problem", "file", "key", "w"])
+                for column, x in zip(out, ([p] * len(b), [f] * len(b), b.keys(), b.values())):
+                    column.extend(x)
+                if len(out[0]) >= BATCH:
+                    yield _batch(out, BAGS)
+                    out = [[] for _ in range(4)]
+            yield _batch(out, BAGS)
 
-    return files.select("problem", "file", "code").mapInArrow(run, "problem string, file string, key string, w long")
+    return files.select("problem", "file", "code").mapInArrow(run, BAGS)
 
 
-def similarity(bags: DataFrame, name: str = "S_AST") -> DataFrame:
-    """Multiset Dice of the pairs with a subtree in common; all other pairs have 0."""
-    return shared_dice(bags, name)
+def similarity(bags: DataFrame, name: str = "S_AST", files: DataFrame | None = None) -> DataFrame:
+    """Multiset Dice of all pairs of files with a bag, or of all of files."""
+    return bag_dice(bags, name, files)

@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,7 +70,8 @@ def test_structure_features(spark, files):
     rows = {r["file"]: r for r in structure.features(files).collect()}
     assert rows["a"]["vec"] == pytest.approx([2, 1, 1, 2, 4, 0, 2, 2, 1.807509], abs=1e-6)
     assert rows["b"]["vec"] == pytest.approx([2, 0, 1, 1, 4, 0, 1, 2, 1.804741], abs=1e-6)
-    assert structure._lcs(rows["a"]["seq"], rows["b"]["seq"]) == 20
+    a, b = ([structure._NUMBERS[x] for x in rows[f]["seq"]] for f in "ab")
+    assert structure.lcs_matrix([np.array(a)], [np.array(b)], len(structure._NUMBERS)).tolist() == [[20]]
     got = structure.similarity(structure.features(files)).first()
     assert got["S_structure"] == 0.8177
 
@@ -101,3 +103,18 @@ def test_entity_free_depth(spark):
     assert one(spark, lexical.brace_depth(F.lit("}}{{{"))) == 1
     assert one(spark, lexical.brace_depth(F.lit('{"{{"}'))) == 1
     assert re.match("", "") is not None
+
+
+def test_subsequences_match_dynamic_programming():
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    rng = np.random.default_rng(3)
+    a, b = ([rng.integers(0, 4, n) for n in sizes] for sizes in ([0, 1, 5, 63, 64, 65, 130, 200], [0, 3, 64, 64, 128, 129, 7, 190]))
+    assert structure.lcs_matrix(a, b, 4).tolist() == [[plain(x, y) for y in b] for x in a]

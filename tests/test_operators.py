@@ -216,3 +216,29 @@ def test_sinks(spark, tmp_path):
     assert sources.pair_csv(spark, str(tmp_path / "x"), "S_AST").first()["S_AST"] == 0.1235
     assert sources.parquet_or_csv(spark, str(tmp_path / "none"), str(tmp_path / "x"), sources.pair_schema("S_AST")).count() == 1
     assert "f1" in sinks.metrics_text({"f1": 0.5}, [{"class": "0", "precision": 1.0, "recall": 1.0, "f1": 1.0, "support": 2}])
+
+
+def test_squares_of_bags_match_plain_pairs(spark):
+    """Small blocks, a large problem, files without a bag, repeated weights."""
+    import random
+
+    rng = random.Random(5)
+    bags = {(p, f"f{i}"): {f"k{rng.randrange(12)}": rng.randint(1, 4) for _ in range(rng.randint(0, 9))} for p, n in (("p", 14), ("q", 3)) for i in range(n)}
+    files = spark.createDataFrame(list(bags), "problem string, file string")
+    rows = spark.createDataFrame([(p, f, k, w) for (p, f), b in bags.items() for k, w in b.items()], "problem string, file string, key string, w long")
+
+    def dice(a, b):
+        total = sum(a.values()) + sum(b.values())
+        return 2 * sum(min(a[k], b[k]) for k in a.keys() & b.keys()) / total if total else 0.0
+
+    def cosine(a, b):
+        norm = (sum(x * x for x in a.values()) * sum(x * x for x in b.values())) ** 0.5
+        return sum(a[k] * b[k] for k in a.keys() & b.keys()) / norm if norm else 0.0
+
+    keys = sorted(bags)
+    for made, measure in ((pairs.bag_dice, dice), (pairs.bag_cosine, cosine)):
+        for same in (False, True):
+            got = {tuple(r)[:4]: r["s"] for r in made(rows, "s", files, same, 4).collect()}
+            want = {(*x, *y): measure(bags[x], bags[y]) for x in keys for y in keys if x < y and (not same or x[0] == y[0])}
+            assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert all(r["s"] > 0 for r in pairs.shared_dice(rows, "s").collect())
