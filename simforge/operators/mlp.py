@@ -56,6 +56,14 @@ def score(pairs: DataFrame, model: Mlp, features: list[str], threshold: float =
     return pairs.withColumn("Plagiarism_Probability", run(F.struct(*features))).withColumn("Is_Plagiarized", F.col("Plagiarism_Probability") >= threshold)
 
 
+def focal_loss(z: Column, y: Column, pos_weight: float = 1.0, gamma: float = 2.0, alpha: float = 0.5) -> Column:
+    """The focal loss of a logit; the focus uses the plain probability, the log loss the weighted one."""
+    p = 1 / (1 + F.exp(-z))
+    softplus = lambda v: F.greatest(v, F.lit(0.0)) + F.log1p(F.exp(-F.abs(v)))
+    bce = F.when(y == 1, pos_weight * softplus(-z)).otherwise(softplus(z))
+    return F.when(y == 1, alpha).otherwise(1 - alpha) * F.pow(F.when(y == 1, 1 - p).otherwise(p), F.lit(gamma)) * bce
+
+
 def focal_gradient(z: np.ndarray, y: np.ndarray, pos_weight: float, gamma: float, alpha: float) -> tuple[float, np.ndarray]:
     """Mean focal loss and its derivative by the logits; the focus uses the plain probability, the log loss the weighted one."""
     p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))

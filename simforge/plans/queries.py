@@ -124,12 +124,27 @@ def structure_trigram_cosine(spark, d):
     return pairs.shared_cosine(saved(structure.trigrams(structure.features(files(spark, d)))), "cosine").withColumn("cosine", F.round("cosine", 9))
 
 
-@query()
+_VEC = f"[{', '.join(f'{_N[x]}::DOUBLE' for x in lexical.GLOBAL_LABELS)}, ({_N['BRANCH']} + {_N['LOGIC']} + 1)::DOUBLE, depth::DOUBLE, {_ENTROPY}]"
+_LABELS = sorted({label for _, _, label in _ALL})
+#: Subsequences of distinct label sequences, bit by bit: the longer one's places are bits in words of 60, and the shorter one is read label by label; s is the carry and the words done.
+_WORD = "((v[k] + (v[k] & a.m[ch][k]) + s[1]) & 1152921504606846975) | (v[k] - (v[k] & a.m[ch][k]))"
+_STEP = f"(list_reduce(range(1, a.words + 1), lambda s, k: list_append(list_prepend((v[k] + (v[k] & a.m[ch][k]) + s[1]) >> 60, s[2:]), {_WORD}), [0]::BIGINT[]))[2:]"
+LCS = f"""distinct_seqs AS MATERIALIZED (SELECT seq, row_number() OVER (ORDER BY len(seq), seq) AS id, list_transform(seq, lambda x: list_position({_LABELS}, x)) AS code, (len(seq) + 59) // 60 AS words FROM (SELECT DISTINCT seq FROM shapes)),
+masks AS MATERIALIZED (SELECT id, seq, code, words, list_transform(range(1, {len(_LABELS) + 1}), lambda label: list_transform(range(words), lambda k: coalesce(list_sum(list_transform(range(60), lambda t: CASE WHEN code[60 * k + t + 1] = label THEN 1::BIGINT << t ELSE 0::BIGINT END)), 0)::BIGINT)) AS m FROM distinct_seqs),
+lcs AS MATERIALIZED (SELECT a.id AS i, b.id AS j, CASE WHEN len(b.seq) = 0 THEN 0 ELSE (60 * a.words - list_sum(list_transform(list_reduce(b.code, lambda v, ch: {_STEP}, list_transform(range(a.words), lambda k: 1152921504606846975::BIGINT)), lambda x: bit_count(x)))) / len(a.seq) END AS share FROM masks a JOIN masks b ON a.id >= b.id)"""
+_SCORES = f"""vecs AS MATERIALIZED (SELECT problem, file, id, list_transform(vec, lambda x: x / (sqrt(list_inner_product(vec, vec)) + 1e-9)) AS vec FROM (SELECT problem, file, id, {_VEC} AS vec FROM shapes JOIN distinct_seqs USING (seq))),
+norms AS (SELECT problem, file, sqrt(sum(w * w)) AS n FROM grams GROUP BY ALL), dots AS (SELECT {_NAMES}, sum(a.w * b.w) AS s FROM grams a JOIN grams b ON a.key = b.key AND {_PAIRS} GROUP BY ALL),
+cosines AS (SELECT problem_1, file_1, problem_2, file_2, s / (x.n * y.n) AS g FROM dots JOIN norms x ON x.problem = problem_1 AND x.file = file_1 JOIN norms y ON y.problem = problem_2 AND y.file = file_2),
+scores AS (SELECT {_NAMES}, round_even(({structure.WEIGHTS[0]} * coalesce(g, 0) + {structure.WEIGHTS[1]} / (1 + list_distance(a.vec, b.vec)) + {structure.WEIGHTS[2]} * share) * 10000, 0) / 10000 AS "S_structure"
+ FROM vecs a JOIN vecs b ON {_PAIRS} JOIN lcs ON i = greatest(a.id, b.id) AND j = least(a.id, b.id) LEFT JOIN cosines ON a.problem = problem_1 AND a.file = file_1 AND b.problem = problem_2 AND b.file = file_2)"""
+
+
+@query(f"WITH {STRUCTURE}, {_GRAMS}, {LCS}, {_SCORES} SELECT * FROM scores")
 def structure_similarity(spark, d):
     return structure.similarity(saved(structure.features(files(spark, d))))
 
 
-@query()
+@query(f"WITH {STRUCTURE}, {_GRAMS}, {LCS}, {_SCORES} SELECT * FROM scores WHERE problem_1 = problem_2")
 def structure_similarity_same_problem(spark, d):
     return structure.similarity(saved(structure.features(files(spark, d))), same_problem=True)
 
@@ -177,6 +192,41 @@ def ast_similarity(spark, d):
     return ast.similarity(saved(ast.tree_bags(files(spark, d))))
 
 
+def _order_trees(spark, d):
+    """A tree per nation: region, customers by segment, orders by priority, lines by status and return."""
+    t = lambda name: table(spark, d, name)
+    node = lambda df, file, i, up, depth, kind: df.select(F.lit("nation").alias("problem"), file.cast("string").alias("file"), i.cast("long").alias("node_id"), up.cast("long").alias("parent_id"), F.lit(depth).alias("depth"), kind.alias("type"))
+    customers = t("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    orders = t("orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "o_orderpriority", "c_nationkey")
+    lines = t("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    kind = F.when(F.col("l_linestatus") == "O", "identifier").otherwise(F.col("l_returnflag"))
+    root = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return (
+        node(root, F.col("n_nationkey"), F.lit(0), F.lit(None), 0, F.col("r_name"))
+        .union(node(customers, F.col("c_nationkey"), F.col("c_custkey") * 10 + 1, F.lit(0), 1, F.col("c_mktsegment")))
+        .union(node(orders, F.col("c_nationkey"), F.col("o_orderkey") * 10 + 2, F.col("o_custkey") * 10 + 1, 2, F.col("o_orderpriority")))
+        .union(node(lines, F.col("c_nationkey"), F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 10 + 3, F.col("l_orderkey") * 10 + 2, 3, kind))
+    )
+
+
+_TREES = """lines AS (SELECT c_nationkey AS file, o_custkey, o_orderkey, o_orderpriority, md5((CASE WHEN l_linestatus = 'O' THEN 'LEAF_identifier' ELSE l_returnflag END) || '_') AS h FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+order_hashes AS (SELECT c_nationkey AS file, c_custkey, md5(o.o_orderpriority || '_' || coalesce(l.kids, '')) AS h FROM orders o JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT o_orderkey, string_agg(h, '_' ORDER BY h) AS kids FROM lines GROUP BY o_orderkey) l USING (o_orderkey)),
+customer_hashes AS (SELECT c_nationkey AS file, md5(c_mktsegment || '_' || coalesce(kids, '')) AS h FROM customer LEFT JOIN (SELECT c_custkey, string_agg(h, '_' ORDER BY h) AS kids FROM order_hashes GROUP BY c_custkey) USING (c_custkey)),
+roots AS (SELECT n_nationkey AS file, md5(r_name || '_' || coalesce((SELECT string_agg(h, '_' ORDER BY h) FROM customer_hashes c WHERE c.file = n_nationkey), '')) AS h FROM nation JOIN region ON n_regionkey = r_regionkey),
+bags AS MATERIALIZED (SELECT 'nation' AS problem, file::VARCHAR AS file, h AS key, count(*) AS w FROM (SELECT file, h FROM lines UNION ALL SELECT file, h FROM order_hashes UNION ALL SELECT file, h FROM customer_hashes UNION ALL FROM roots) GROUP BY ALL)"""
+
+
+@query(f"WITH {_TREES} SELECT problem, file, key, w FROM bags")
+def tree_bags_of_tables(spark, d):
+    """Subtree bags of node tables, level by level."""
+    return ast.subtree_bags(_order_trees(spark, d))
+
+
+@query(f"WITH {_TREES}, totals AS (SELECT problem, file, sum(w) AS t FROM bags GROUP BY ALL), c AS (SELECT {_NAMES}, sum(least(a.w, b.w)) AS n FROM bags a JOIN bags b ON a.key = b.key AND {_PAIRS} GROUP BY ALL) SELECT {_NAMES}, round(2 * coalesce(n, 0) / (a.t + b.t), 9)::DOUBLE AS \"S_AST\" FROM totals a JOIN totals b ON {_PAIRS} LEFT JOIN c ON problem_1 = a.problem AND file_1 = a.file AND problem_2 = b.problem AND file_2 = b.file")
+def tree_similarity_of_tables(spark, d):
+    return ast.similarity(saved(ast.subtree_bags(_order_trees(spark, d)))).withColumn("S_AST", F.round("S_AST", 9))
+
+
 def _order_graph(spark, d):
     """A graph per customer segment of orders: order -> part of its lines, typed by the line's status."""
     li = table(spark, d, "lineitem").select((F.col("l_orderkey") % 50).cast("string").alias("file"), F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.when(F.col("l_returnflag") == "N", "data").otherwise("control").alias("etype"))
@@ -204,6 +254,36 @@ def pdg_cosine(spark, d):
     return pairs.shared_cosine(saved(pdg.histogram(pdg.refine(*_order_graph(spark, d)))), "S_PDG").withColumn("S_PDG", F.round("S_PDG", 9))
 
 
+@query(f"WITH {_GRAPH}, files AS (SELECT DISTINCT file, file::INT % 7 <> 0 AS ok FROM nodes), norms AS (SELECT file, sqrt(sum(w * w)) AS n FROM hist GROUP BY ALL), c AS (SELECT a.file AS x, b.file AS y, sum(a.w * b.w) AS s FROM hist a JOIN hist b ON a.key = b.key AND a.file < b.file GROUP BY ALL) SELECT 'orders' AS problem_1, a.file AS file_1, 'orders' AS problem_2, b.file AS file_2, CASE WHEN a.ok AND b.ok THEN round(coalesce(s / (m.n * n.n), 0), 9) ELSE 0 END AS \"S_PDG\", (a.ok AND b.ok)::INTEGER AS pdg_valid FROM files a JOIN files b ON a.file < b.file JOIN norms m ON m.file = a.file JOIN norms n ON n.file = b.file LEFT JOIN c ON x = a.file AND y = b.file")
+def pdg_similarity(spark, d):
+    """All pairs; those with an invalid file (here each seventh) have the fallback."""
+    nodes, edges = _order_graph(spark, d)
+    valid = nodes.select("problem", "file").distinct().withColumn("valid", F.col("file").cast("int") % 7 != 0)
+    return pdg.similarity(valid, saved(pdg.histogram(pdg.refine(nodes, edges)))).withColumn("S_PDG", F.round("S_PDG", 9))
+
+
+def _order_ir(spark, d):
+    """IR text per order: a block with four instructions for each line, a jump, a second block."""
+    n = F.col("l_linenumber").cast("string")
+    text = F.concat(F.lit("  %a"), n, F.lit(" = alloca i32\n  %v"), n, F.lit(" = load i32, i32* %a"), n, F.lit("\n  store i32 %v"), n, F.lit(", i32* %a"), n, F.lit("\n  call void @use(i32 %v"), n, F.lit(")\n"))
+    bodies = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("file")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", text.alias("t")))).alias("parts"))
+    ir = F.concat(F.lit("; ModuleID = 'x'\ndefine void @f() {\nentry:\n"), F.array_join(F.col("parts.t"), ""), F.lit("  br label %exit\nexit:   ; preds\n  ret void\n}\n"))
+    return bodies.select(F.lit("orders").alias("problem"), "file", ir.alias("ir"))
+
+
+_IR = """l AS (SELECT l_orderkey::VARCHAR AS file, '%a' || l_linenumber AS a, '%v' || l_linenumber AS v, 'call_' || substr(md5('call void @use(i32 %v' || l_linenumber || ')'), 1, 8) AS c FROM lineitem)"""
+
+
+@query(f"WITH {_IR} SELECT DISTINCT 'orders' AS problem, file, node, label FROM (SELECT file, unnest(['entry', 'exit', a, v, c]) AS node, unnest(['block', 'block', 'alloca', 'load', 'call']) AS label FROM l)")
+def ir_nodes(spark, d):
+    return pdg.graph(_order_ir(spark, d))[0]
+
+
+@query(f"WITH {_IR} SELECT DISTINCT 'orders' AS problem, file, src, dst, etype FROM (SELECT file, unnest(['entry', a, v, 'entry', v]) AS src, unnest(['exit', v, a, c, c]) AS dst, unnest(['control', 'data', 'data', 'control', 'data']) AS etype FROM l)")
+def ir_edges(spark, d):
+    return pdg.graph(_order_ir(spark, d))[1]
+
+
 # ------------------------------------------------- features, samples, splits
 
 _RAW = "CASE WHEN event_id % 7 = 0 THEN 'NaN' WHEN event_id % 11 = 0 THEN 'Infinity' WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN 'text' ELSE CAST(value AS VARCHAR) END"
@@ -342,11 +422,11 @@ _RATIO = "n / (size * (size - 1) / 2)"
 
 
 @query(f"""WITH RECURSIVE {_COMPONENTS}, m AS (SELECT problem, root, count(*) AS size, string_agg(file, ', ' ORDER BY file) AS files FROM roots GROUP BY ALL),
-l AS (SELECT r.problem, r.root, count(*) AS n, avg(e.p) AS p FROM edges e JOIN roots r ON r.problem = e.problem AND r.file = e.a GROUP BY ALL), j AS (SELECT m.*, n, p, row_number() OVER (ORDER BY m.problem, m.root) AS id FROM m LEFT JOIN l USING (problem, root))
-SELECT problem AS "Problem", id::BIGINT AS "Cluster_ID", size::BIGINT AS "Cluster_Size", files AS "Files", (CASE WHEN size = 1 THEN 0 ELSE round(p, 3) END)::DOUBLE AS "Avg_Probability", (CASE WHEN size = 1 THEN 0 ELSE round({_RATIO}, 3) END)::DOUBLE AS "Graph_Density",
+l AS (SELECT r.problem, r.root, count(*) AS n, avg(e.p) AS p, string_agg(e.a || ' - ' || e.b || ' (Type-1, ' || round(e.p, 3)::VARCHAR || ')', ' | ' ORDER BY e.a || ' - ' || e.b || ' (Type-1, ' || round(e.p, 3)::VARCHAR || ')') AS pairs FROM edges e JOIN roots r ON r.problem = e.problem AND r.file = e.a GROUP BY ALL), j AS (SELECT m.*, n, p, pairs, row_number() OVER (ORDER BY m.problem, m.root) AS id FROM m LEFT JOIN l USING (problem, root))
+SELECT problem AS "Problem", id::BIGINT AS "Cluster_ID", size::BIGINT AS "Cluster_Size", files AS "Files", CASE WHEN size = 1 THEN 'N/A — no clone pair detected' ELSE pairs END AS "Pair_Relationships", (CASE WHEN size = 1 THEN 0 ELSE round(p, 3) END)::DOUBLE AS "Avg_Probability", (CASE WHEN size = 1 THEN 0 ELSE round({_RATIO}, 3) END)::DOUBLE AS "Graph_Density",
 CASE WHEN size = 1 THEN 'UNIQUE — no clone found' WHEN p >= 0.8 AND round({_RATIO}, 3) >= 0.8 THEN 'HIGH' WHEN p >= 0.5 THEN 'MEDIUM' ELSE 'LOW — review manually' END AS "Confidence" FROM j""")
 def cluster_report(spark, d):
-    return cluster.report(_probable(spark, d), AT).drop("Pair_Relationships")
+    return cluster.report(_probable(spark, d), AT)
 
 
 # ----------------------------------------------- names, models, joins, prints
@@ -386,6 +466,39 @@ def mlp_score_native(spark, d):
     return e.select("vec_id", F.round(p, 9).alias("p"), (p >= 0.6).alias("flag"))
 
 
+def _whole_model() -> mlp.Mlp:
+    """The net of eight features and four hidden layers, with weights by a formula."""
+    sizes = [8, *mlp.LAYERS, 1]
+    grid = lambda a, b: np.array([[((3 * i + 5 * j) % 7 - 3) / 8 for j in range(b)] for i in range(a)])
+    return mlp.Mlp(tuple(grid(a, b) for a, b in zip(sizes, sizes[1:])), tuple(np.array([(j % 5 - 2) / 16 for j in range(b)]) for b in sizes[1:]))
+
+
+def _whole_net_sql() -> str:
+    sizes = [8, *mlp.LAYERS, 1]
+    out = "SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS x FROM embeddings"
+    for k, (a, b) in enumerate(zip(sizes, sizes[1:])):
+        z = f"list_sum(list_transform(range({a}), lambda i: x[i + 1] * (((3 * i + 5 * j) % 7 - 3) / 8))) + (j % 5 - 2) / 16"
+        out = f"SELECT vec_id, list_transform(range({b}), lambda j: {z if k == len(sizes) - 2 else f'greatest(0, {z})'}) AS x FROM ({out})"
+    return f"SELECT vec_id, round(1 / (1 + exp(-x[1])), 9) AS p, 1 / (1 + exp(-x[1])) >= {mlp.THRESHOLD} AS flag FROM ({out})"
+
+
+@query(_whole_net_sql())
+def mlp_whole_net(spark, d):
+    names = [f"x{i}" for i in range(8)]
+    e = table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    return mlp.score(e, _whole_model(), names).select("vec_id", F.round("Plagiarism_Probability", 9).alias("p"), F.col("Is_Plagiarized").alias("flag"))
+
+
+_LOGIT = "ln(least(greatest(p, 1e-6), 1 - 1e-6) / (1 - least(greatest(p, 1e-6), 1 - 1e-6)))"
+
+
+@query(f"WITH {SCORED}, z AS (SELECT toxic AS y, {_LOGIT} AS z FROM scored), q AS (SELECT y, 1 / (1 + exp(-z)) AS p, CASE WHEN y = 1 THEN 2.5 * ln(1 + exp(-z)) ELSE ln(1 + exp(z)) END AS bce FROM z) SELECT y, count(*) AS n, round(avg((CASE WHEN y = 1 THEN 0.25 ELSE 0.75 END) * pow(1 - CASE WHEN y = 1 THEN p ELSE 1 - p END, 2) * bce), 9) AS loss FROM q GROUP BY y")
+def focal_loss(spark, d):
+    p = F.least(F.greatest("p", F.lit(1e-6)), F.lit(1 - 1e-6))
+    z = scored(spark, d).select(F.col("toxic").alias("y"), F.log(p / (1 - p)).alias("z"))
+    return z.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(mlp.focal_loss(F.col("z"), F.col("y"), 2.5, 2.0, 0.25)), 9).alias("loss"))
+
+
 @query(f"WITH {VECTORS} SELECT {_NAMES}, (a.problem = b.problem)::INTEGER AS \"GroundTruth\", {_MEASURES} FROM vectors a JOIN vectors b ON {_PAIRS}")
 def combined_join(spark, d):
     """Two pair tables joined on the pair key, with the label by problem."""
