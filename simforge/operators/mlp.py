@@ -78,18 +78,26 @@ def focal_gradient(z: np.ndarray, y: np.ndarray, pos_weight: float, gamma: float
     return float((a * focus * bce).mean()), grad / len(z)
 
 
-def best_f1(p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(f1, threshold) over 0.30 ... 0.95; ties by precision, recall, lowest threshold."""
-    best = (-1.0, -1.0, -1.0, 0.0)
+def best_cut(p: np.ndarray, y: np.ndarray) -> dict:
+    """The threshold of 0.30 ... 0.95 with the best F1, and its scores and counts; ties by precision, recall, lowest threshold."""
+    best, found = (-1.0,), {}
     for t in range(30, 96):
         z = p >= t / 100
-        tp, fp, fn = int((z & (y == 1)).sum()), int((z & (y == 0)).sum()), int((~z & (y == 1)).sum())
+        tp, fp, fn, tn = (int((z == a)[y == b].sum()) for a, b in ((True, 1), (True, 0), (False, 1), (False, 0)))
         precision, recall = tp / (tp + fp) if tp + fp else 0.0, tp / (tp + fn) if tp + fn else 0.0
-        best = max(best, (2 * tp / (2 * tp + fp + fn) if tp else 0.0, precision, recall, -t / 100))
-    return best[0], -best[3]
+        now = (2 * tp / (2 * tp + fp + fn) if tp else 0.0, precision, recall, -t / 100)
+        if now > best:
+            best, found = now, {"f1": now[0], "precision": precision, "recall": recall, "threshold": t / 100, "tp": tp, "fp": fp, "fn": fn, "tn": tn}
+    return found
+
+
+def best_f1(p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(f1, threshold) of the best cut."""
+    found = best_cut(p, y)
+    return found["f1"], found["threshold"]
 
 
-def train(x: np.ndarray, y: np.ndarray, valid_x: np.ndarray, valid_y: np.ndarray, epochs: int = 200, patience: int = 30, batch: int = 4096, rate: float = 1e-3, dropout: float = 0.1, pos_weight: float = 1.0, gamma: float = 2.0, alpha: float = 0.5, seed: int = 42) -> tuple[Mlp, float, list[dict]]:
+def train(x: np.ndarray, y: np.ndarray, valid_x: np.ndarray, valid_y: np.ndarray, epochs: int = 400, patience: int = 30, batch: int = 4096, rate: float = 1e-3, dropout: float = 0.4, pos_weight: float = 200.0, gamma: float = 2.0, alpha: float = 0.25, seed: int = 42) -> tuple[Mlp, float, list[dict]]:
     """Adam on the focal loss with early stopping by validation F1: model, threshold, history.
 
     x, y: a pool that the caller has bounded (reservoir and downsample), on the driver.
@@ -120,10 +128,10 @@ def train(x: np.ndarray, y: np.ndarray, valid_x: np.ndarray, valid_y: np.ndarray
                 v[k] = 0.999 * v[k] + 0.001 * gk**2
                 params[k] = params[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         model = Mlp(tuple(params[:n]), tuple(params[n:]))
-        f1, t = best_f1(model.probability(valid_x), valid_y)
-        history.append({"epoch": epoch, "train_loss": float(np.mean(losses)), "valid_f1": f1, "valid_threshold": t})
-        if f1 > best:
-            best, chosen, threshold, since = f1, model, t, 0
+        found = best_cut(model.probability(valid_x), valid_y)
+        history.append({"epoch": epoch, "train_loss": float(np.mean(losses)), **{f"valid_{k}": v for k, v in found.items()}})
+        if found["f1"] > best:
+            best, chosen, threshold, since = found["f1"], model, found["threshold"], 0
         elif (since := since + 1) >= patience:
             break
     return chosen, threshold, history

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import json
 from datetime import datetime
-from pathlib import Path
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from simforge.operators import storage
 from simforge.operators.pairs import PAIR_KEY
 
 ZONE = "Asia/Kolkata"
@@ -40,14 +40,32 @@ def metrics_text(metrics: dict, report: list[dict] | None = None) -> str:
 
 
 def write_text(path: str, text: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(text)
+    """A text file in the file system that the path names."""
+    storage.write_text(SparkSession.active(), path, text)
 
 
-def write_json(path: str, value: dict) -> None:
+def write_json(path: str, value) -> None:
     write_text(path, json.dumps(value, indent=2, default=str))
 
 
+class Log:
+    """Lines with times, kept and written as one text; a run that is broken off still writes what it has."""
+
+    def __init__(self, path: str):
+        self.path, self.lines = path, []
+
+    def __call__(self, text: str) -> None:
+        self.lines.append(f"{datetime.now(ZoneInfo(ZONE)):%Y-%m-%d %H:%M:%S} | {text}")
+
+    def __enter__(self) -> Log:
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        if error is not None:
+            self(f"stopped: {kind.__name__}: {error}")
+        write_text(self.path, "\n".join(self.lines) + "\n")
+
+
 def run_summary(scored: DataFrame, threshold: float, cluster_threshold: float, metrics: dict, outputs: dict, **names) -> dict:
     """What a run was and gave, with the distribution of predicted types."""
     r = scored.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("Is_Plagiarized").cast("long")), F.lit(0)).alias("p")).first()

@@ -160,7 +160,7 @@ def test_mlp(spark):
     rng = np.random.default_rng(1)
     x = rng.random((600, 8))
     y = (x[:, 0] + x[:, 1] > 1).astype(int)
-    model, threshold, history = mlp.train(x[:400], y[:400], x[400:], y[400:], epochs=60, batch=64, rate=5e-3)
+    model, threshold, history = mlp.train(x[:400], y[:400], x[400:], y[400:], epochs=60, batch=64, rate=5e-3, dropout=0.1, pos_weight=1.0, alpha=0.5)
     assert max(h["valid_f1"] for h in history) > 0.85 and 0.3 <= threshold <= 0.95
     again = mlp.Mlp.from_json(model.to_json())
     df = spark.createDataFrame([tuple(map(float, r)) for r in x[:20]], ", ".join(f"x{i} double" for i in range(8)))
@@ -200,6 +200,9 @@ def test_files_and_fingerprint(spark, tmp_path):
         (tmp_path / p / f).write_bytes(b)
     got = sources.source_files(spark, str(tmp_path))
     assert {tuple(r) for r in got.collect()} == {("p2", "b.cpp", "x\ny", 4), ("p1", "a c.cpp", "café", 6), ("p1", "d.c++", "z", 1)}
+    (tmp_path / "p2" / "e 1+2.cpp").write_bytes(b"")
+    assert {tuple(r) for r in sources.source_files(spark, str(tmp_path)).where("n_bytes = 0").collect()} == {("p2", "e 1+2.cpp", "", 0)}
+    (tmp_path / "p2" / "e 1+2.cpp").unlink()
     import hashlib
 
     text = "p1/a c.cpp:6\np1/d.c++:1\np2/b.cpp:4"
@@ -208,6 +211,9 @@ def test_files_and_fingerprint(spark, tmp_path):
     for _ in range(2):
         assert sources.cached(spark, got, str(tmp_path / "cache"), "n", lambda f: (made.append(1), f.select("file"))[1]).count() == 3
     assert len(made) == 1
+    (next((tmp_path / "cache").glob("n-*")) / "_SUCCESS").unlink()  # a job that broke off
+    sources.cached(spark, got, str(tmp_path / "cache"), "n", lambda f: (made.append(1), f.select("file"))[1])
+    assert len(made) == 2
 
 
 def test_sinks(spark, tmp_path):
@@ -242,3 +248,49 @@ def test_squares_of_bags_match_plain_pairs(spark):
             want = {(*x, *y): measure(bags[x], bags[y]) for x in keys for y in keys if x < y and (not same or x[0] == y[0])}
             assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     assert all(r["s"] > 0 for r in pairs.shared_dice(rows, "s").collect())
+
+
+def test_ranks_of_hot_labels_match_plain_ranks(spark):
+    import hashlib
+
+    rows = [(i, 0 if i % 50 else 1) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, y int").repartition(5)
+    order = {y: sorted((i for i, z in rows if z == y), key=lambda i: (hashlib.md5(f"42|{i}".encode()).hexdigest(), i)) for y in (0, 1)}
+    assert {r["id"] for r in sampling.reservoir(df, "y", {1: 5, 0: 30}, ["id"]).collect()} == {*order[1][:5], *order[0][:30]}
+    assert {r["id"] for r in sampling.downsample(df, "y", 3, ["id"]).collect()} == {*order[1], *order[0][:54]}
+    folds = {r["id"]: r["fold"] for r in sampling.stratified_folds(df, "y", ["id"]).collect()}
+    assert folds == {i: k % 5 for y in (0, 1) for k, i in enumerate(order[y])}
+    assert {r["y"]: r["weight"] for r in sampling.class_weights(df, "y").collect()} == {1: 1 / 18, 0: 1 / 882}
+
+
+def test_training_run(spark, tmp_path):
+    from simforge.plans import training
+
+    rng = np.random.default_rng(4)
+    names = list(features.FEATURES)
+
+    def table(n, tag):
+        rows = []
+        for i in range(n):
+            y = int(i % 5 == 0)
+            rows.append((f"{tag}{i % 3}", f"a{i}", f"{tag}{i % 3}", f"b{i}", y, *[float(np.clip(0.7 * y + rng.normal(0.15, 0.1), 0, 1)) for _ in names]))
+        return spark.createDataFrame(rows, "problem_1 string, file_1 string, problem_2 string, file_2 string, GroundTruth int, " + ", ".join(f"{c} double" for c in names))
+
+    out = str(tmp_path / "run")
+    done = training.run(spark, table(300, "p"), table(200, "q"), out, {"other": table(60, "r")}, most_positives=40, epochs=25, batch=32, rate=5e-3, dropout=0.1, pos_weight=1.0, alpha=0.5)
+    assert done.meta["rows"]["train"]["1"] == 40 + 25 and done.meta["other_metrics"]["f1"] > 0.8
+    again = training.load(spark, out)
+    assert again.threshold == done.threshold and training.evaluate(table(60, "r"), again).keys() >= {"f1", "tp"}
+    history = __import__("json").loads((tmp_path / "run" / "history.json").read_text())
+    assert {"epoch", "train_loss", "valid_f1", "valid_precision", "valid_recall", "valid_threshold", "valid_tp", "valid_fp", "valid_fn", "valid_tn"} == set(history[0])
+    assert "epoch 1" in (tmp_path / "run" / "session.log").read_text()
+
+
+def test_type_grid_and_outputs(spark, tmp_path):
+    sizes = {k: sum(kind == k for kind, _ in types.grid()) for k in ("tree", "forest", "random_trees")}
+    assert sizes == {"tree": 96, "forest": 192, "random_trees": 192} and len(types.grid(10)) == 30
+    rows = [("p", "s1.cpp", "p", f"s{10 * k + i}.cpp", 1, k, float(k), float(i)) for k in range(1, 5) for i in range(10)]
+    df = spark.createDataFrame(rows, "problem_1 string, file_1 string, problem_2 string, file_2 string, GroundTruth int, clone_type int, a double, b double")
+    best = types.search(df, ["a", "b"], [("tree", {"maxDepth": 4, "balanced": True})], folds=2)
+    done = types.write_search(spark, best, types.refit(df, ["a", "b"], best[0]), df, ["a", "b"], str(tmp_path / "t"))
+    assert done["cv_f1_macro_mean"] == 1 and spark.read.option("header", "true").csv(str(tmp_path / "t" / "type_pairs")).where("true_type_label = pred_type_label").count() == 40
