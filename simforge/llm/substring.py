@@ -180,8 +180,45 @@ def _block(t: pa.Table):
     return words, hashes(buf, starts, ends, KEYS[1]), bounds, np.repeat(np.arange(len(ids)), np.diff(bounds)), ids, digests
 
 
+class Common:
+    """The entries that come more than once in a block, from block to block of a task, each with its first place so far.
+
+    At most `most` are kept, the most frequent; others are sent by each block, which changes no result.
+    """
+
+    def __init__(self, most: int = 1 << 16):
+        self.most, self.rows = most, [np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64)]
+
+    def later(self, name, whole, ids, digests, at) -> np.ndarray:
+        """Which entries an equal one of an earlier block precedes."""
+        key = mix(name ^ mix(whole))
+        known = mix(self.rows[0] ^ mix(self.rows[1]))
+        if not len(known):
+            return np.zeros(len(name), bool)
+        i = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        equal = (self.rows[0][i] == name) & (self.rows[1][i] == whole)
+        before = np.zeros(len(name), bool)
+        for mine, first in zip((at, digests, ids), (self.rows[4][i], self.rows[3][i], self.rows[2][i])):
+            before = (first < mine) | ((first == mine) & before)
+        return equal & before
+
+    def add(self, name, whole, ids, digests, at, times) -> None:
+        name, whole, ids, digests, at, times = (np.concatenate([a, b.astype(a.dtype)]) for a, b in zip(self.rows, (name, whole, ids, digests, at, times)))
+        order, first, _ = _first_places(name, whole, ids, digests, at)
+        start = np.flatnonzero(first)
+        total = np.add.reduceat(times[order], start) if len(start) else times
+        best = order[start]
+        if len(best) > self.most:
+            keep = np.sort(np.argsort(-total, kind="stable")[: self.most])
+            best, total = best[keep], total[keep]
+        rows = [x[best] for x in (name, whole, ids, digests, at)] + [total]
+        by = np.argsort(mix(rows[0] ^ mix(rows[1])))
+        self.rows = [x[by] for x in rows]
+
+
 def _send_names(width: int, buckets: int):
     def run(batches):
+        common = Common()
         for t in chunks(batches, "text", 4 << 20):
             words, others, bounds, doc, ids, digests = _block(t)
             window, name, some, twice = least_names(words, doc, width)
@@ -201,6 +238,13 @@ def _send_names(width: int, buckets: int):
             kind[order] = np.where(first, ASK, GONE)
             kind[(kind == ASK) & np.isin(name, twice)] = ASK_OPEN
             kind[~some] = OPEN
+            # what comes again from block to block is asked once for each task, or for each place that is the first so far
+            places = (name, whole, ids[d], digests[d], at)
+            kind[(kind >= ASK) & common.later(*places)] = GONE
+            times = np.diff(np.append(np.flatnonzero(first), len(order)))
+            again = order[first][times > 1]
+            again, times = again[some[again]], times[times > 1][some[again]]
+            common.add(*(x[again] for x in places), times)
             keep = np.ones(len(name), dtype=bool)
             keep[order] = first | ~same | ~some[order]
             yield pack(buckets, name[keep], whole[keep], d[keep], at[keep], n[keep], kind[keep], ids, digests)

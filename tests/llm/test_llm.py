@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,39 @@ def test_substrings_match_brute_force(spark):
     assert got == set(substring.brute_force(rows))
 
 
+def test_common_entries_across_blocks(monkeypatch):
+    """Blocks of one or a few texts, so that common passages are settled from block to block of a task; ids in no order."""
+    chunks = substring.chunks
+    monkeypatch.setattr(substring, "chunks", lambda batches, text, most=0: chunks(batches, text, 700))
+    rng = random.Random(17)
+    shared = [" ".join(rng.choices(WORDS, k=rng.randint(20, 60))) for _ in range(4)]
+    ids = rng.sample(range(1000), 120)
+    rows = [(i, " ".join([*rng.choices(WORDS, k=rng.randint(0, 9)), *([rng.choice(shared)] * rng.randint(0, 3)), *rng.choices(WORDS, k=rng.randint(0, 9))])) for i in ids]
+    batches = [pa.RecordBatch.from_pydict({"id": [i for i, _ in rows], "digest": [zlib.crc32(t.encode()) for _, t in rows], "text": [t.encode() for _, t in rows]})]
+    names = pa.Table.from_batches(substring._send_names(20, 1)(batches))
+    kinds = Counter(k for r in names.column("kind").to_pylist() for k in r)
+
+    def grouped(t):
+        out = {}
+        for r in t.to_pylist():
+            out.setdefault(r["id"], ([], []))
+            out[r["id"]][0].append(r["gone"])
+            out[r["id"]][1].append(r["open"])
+        return out
+
+    # the operator's steps, one after the other, in this process
+    settled = grouped(substring._settle_names(names))
+    lists = [settled.get(i, ([], [])) for i, _ in rows]
+    second = pa.RecordBatch.from_arrays([*batches[0].columns, pa.array([x[0] for x in lists], pa.list_(pa.binary())), pa.array([x[1] for x in lists], pa.list_(pa.binary()))], names=["id", "digest", "text", "gone", "open"])
+    later = grouped(substring._settle_windows(pa.Table.from_batches(substring._send_windows(20, 1)([second]))))
+    last = pa.RecordBatch.from_arrays([batches[0].column("id"), batches[0].column("text"), pa.array([later.get(i, ([], []))[0] for i, _ in rows], pa.list_(pa.binary()))], names=["id", "text", "gone"])
+    got = {(r["id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"]).hexdigest()) for x in substring._cover(20)([last]) for r in x.to_pylist()}
+    assert got == set(substring.brute_force(rows))
+    monkeypatch.setattr(substring.Common, "later", lambda self, *places: np.zeros(len(places[0]), bool))
+    without = Counter(k for r in pa.Table.from_batches(substring._send_names(20, 1)(batches)).column("kind").to_pylist() for k in r)
+    assert kinds[substring.ASK] < without[substring.ASK] and sum(kinds.values()) == sum(without.values())
+
+
 def test_substring_edges(spark):
     t = " ".join(WORDS[:30])
     rows = [(1, t), (1, t), (2, t)]
