@@ -43,7 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = os.path.join(tempfile.gettempdir(), "simforge-checkpoints")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/simforge-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/simforge-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what cut has stored for this application; for when all results that read it are written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(os.path.dirname(shared_dir(spark)))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -752,3 +752,14 @@ def test_toxicity_edges(spark):
     got = toxicity.score(docs, toxicity.fit(docs, none))
     assert got.columns == ["doc_id", "text", "score", "_score"] and got.first()["_score"] < 1e-200
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, none)).count() == 0
+
+
+def test_stored_tables_can_be_deleted(spark):
+    from simforge.llm import common
+
+    df = common.cut(frame(spark, [(1, "a")]))
+    path = df.inputFiles()[0]
+    assert spark.read.parquet(path).count() == 1
+    common.clean(spark)
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        spark.read.parquet(path)
