@@ -174,8 +174,24 @@ def embedding_pairs_same_problem(spark, d):
     return _rounded(embed.same_problem_measures(vectors(spark, d)))
 
 
-@query()
+_EMBEDDED = [
+    (r"/\*[\s\S]*?\*/", ""), ("//.*", ""), (r"(?im)^\s*#\s*(?:include|define|pragma|ifndef|ifdef|endif|undef|else|elif|if)\b.*$", ""),
+    (r"(?m)^\s*(?:using\s+namespace\s+\w+|import\s+[\w.]+)\s*;?\s*$", ""), ('"[^"]*"', "STRING_LITERAL"), ("''[^'']*''", "CHAR_LITERAL"), (r"\b\d+(?:\.\d+)?\b", "NUM_LITERAL"),
+    (r"\r\n|[\r\x0B\f\x1C-\x1E]", "\n"), (r"[^\S\n]+(\n|\z)", r"\1"), (r"\n{3,}", "\n\n"), (r"[ \t]+", " "), (r"\A\s+|\s+\z", ""),
+]
+
+
+def _embedded_sql() -> str:
+    out = "code"
+    for pattern, to in _EMBEDDED:
+        new = "repeat(chr(10), 2)" if to == "\n\n" else "chr(10)" if to == "\n" else f"'{to}'"
+        out = f"regexp_replace({out}, '{pattern}', {new}, 'g')"
+    return out
+
+
+@query(f"WITH {FILES} SELECT problem, file, {embed.DIM}::INTEGER AS dim, CASE WHEN regexp_matches({_embedded_sql()}, '\\S') THEN 1 ELSE 0 END::DOUBLE AS norm2 FROM files")
 def embed_files(spark, d):
+    """Vectors of all files; unit vectors, and zero where there is no token."""
     return embed.embeddings(files(spark, d)).select("problem", "file", F.size("v").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3).alias("norm2"))
 
 
@@ -546,21 +562,6 @@ def feature_ranges(spark, d):
     return li.agg(*[f(c).cast("double").alias(f"{n}_{c[2:]}") for c in ("l_quantity", "l_discount") for n, f in (("min", F.min), ("max", F.max))])
 
 
-_EMBEDDED = [
-    (r"/\*[\s\S]*?\*/", ""), ("//.*", ""), (r"(?im)^\s*#\s*(?:include|define|pragma|ifndef|ifdef|endif|undef|else|elif|if)\b.*$", ""),
-    (r"(?m)^\s*(?:using\s+namespace\s+\w+|import\s+[\w.]+)\s*;?\s*$", ""), ('"[^"]*"', "STRING_LITERAL"), ("''[^'']*''", "CHAR_LITERAL"), (r"\b\d+(?:\.\d+)?\b", "NUM_LITERAL"),
-    (r"\r\n|[\r\x0B\f\x1C-\x1E]", "\n"), (r"[^\S\n]+(\n|\z)", r"\1"), (r"\n{3,}", "\n\n"), (r"[ \t]+", " "), (r"\A\s+|\s+\z", ""),
-]
-
-
-def _embedded_sql() -> str:
-    out = "code"
-    for pattern, to in _EMBEDDED:
-        new = "repeat(chr(10), 2)" if to == "\n\n" else "chr(10)" if to == "\n" else f"'{to}'"
-        out = f"regexp_replace({out}, '{pattern}', {new}, 'g')"
-    return out
-
-
 @query(f"WITH {FILES} SELECT problem, file, md5({_embedded_sql()}) AS digest FROM files")
 def embedding_text(spark, d):
     return files(spark, d).select("problem", "file", F.md5(lexical.embedding_text(F.col("code")).cast("binary")).alias("digest"))
