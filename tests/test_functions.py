@@ -118,3 +118,22 @@ def test_subsequences_match_dynamic_programming():
     rng = np.random.default_rng(3)
     a, b = ([rng.integers(0, 4, n) for n in sizes] for sizes in ([0, 1, 5, 63, 64, 65, 130, 200], [0, 3, 64, 64, 128, 129, 7, 190]))
     assert structure.lcs_matrix(a, b, 4).tolist() == [[plain(x, y) for y in b] for x in a]
+
+
+def test_long_subsequences_and_one_comparison_a_square(monkeypatch):
+    """Sequences beyond the words' classes, and equal ones in several tiles of a square compared once."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 3, 2100), rng.integers(0, 3, 2500)
+    row = np.zeros(len(y) + 1, np.int64)
+    for label in x:
+        row = np.maximum.accumulate(np.maximum(row, np.concatenate([[0], row[:-1] + (y == label)])))
+    assert structure.lcs_matrix([x, x[:70]], [y], 3)[0, 0] == row[-1] == structure.lcs_matrix([y], [x], 3)[0, 0]
+    asked = []
+    plain = structure.lcs_matrix
+    monkeypatch.setattr(structure, "lcs_matrix", lambda a, b, n: asked.append((len(a), len(b))) or plain(a, b, n))
+    t = pa.table({"seq": [["LOOP", "CALL"]] * 3 + [["CALL"]] * 3, "vec": [[1.0] * 9] * 6})
+    tile = structure._pair_scores(t, np.arange(6), np.arange(6))
+    assert tile(slice(0, 3), slice(3, 6))[2].tolist() == [[0.5] * 3] * 3 and tile(slice(0, 3), slice(0, 3))[2].tolist() == [[1.0] * 3] * 3
+    assert asked == [(2, 2)]
