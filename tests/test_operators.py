@@ -328,3 +328,24 @@ def test_graphs_are_made_where_the_text_is(spark):
         assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
     assert {r["node"]: r["label"] for r in nodes.collect()} == {"e": "block", "%x": "arith", "%y": "phi"}
     assert {(r["src"], r["dst"]) for r in edges.collect()} == {("%y", "%x"), ("%x", "%y")}
+
+
+def test_combined_squares_join_below_the_pairs(spark):
+    """The same rows as combine(), files of one table alone left out, and no join or exchange of pairs."""
+    rng = np.random.default_rng(2)
+    v = spark.createDataFrame([("p", f"f{i}", rng.random(4).tolist()) for i in range(7)], "problem string, file string, v array<double>")
+    few = v.where("file <> 'f3'")
+    got = pairs.combined_squares([(v, embed._cosines, ["cosine"]), (few, embed._distances, ["l2", "l1"])], block_rows=2)
+    want = pairs.combine([embed.pair_measures(v).select(*pairs.PAIR_KEY, "unixcoder_cosine"), embed.pair_measures(few).select(*pairs.PAIR_KEY, "unixcoder_l2", "unixcoder_manhattan")])
+    assert got.count() == 15 and {tuple(r)[:4]: pytest.approx(tuple(r)[4:]) for r in want.collect()} == {tuple(r)[:4]: tuple(r)[4:] for r in got.collect()}
+    assert "problem_2" not in got._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[1].split("\n", 1)[1]
+
+
+def test_token_pairs_are_squares(spark):
+    from simforge.plans import detect
+
+    fp = spark.createDataFrame([("p", "a", [1, 2, 3]), ("p", "b", [2, 3, 4, 5]), ("q", "c", []), ("q", "d", None)], "problem string, file string, fp array<bigint>")
+    df = detect.token_similarity(fp)
+    assert "FlatMapGroupsInArrow" in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["file_1"], r["file_2"]): r["S_token"] for r in df.collect()}
+    assert len(got) == 6 and got["a", "b"] == pytest.approx(4 / 7) and got["a", "c"] == got["c", "d"] == 0
