@@ -763,3 +763,17 @@ def test_stored_tables_can_be_deleted(spark):
     common.clean(spark)
     with pytest.raises(Exception, match="(?i)exist|not found"):
         spark.read.parquet(path)
+
+
+def test_lm_members_do_not_hang_on_the_cache_of_frequent_tokens(spark, monkeypatch):
+    """The most frequent words of each class are its members, also those outside the TOP."""
+    from simforge.llm import lm
+
+    text = " ".join(f"w{i}{e}" for i in range(40) for e in ("ing", "est", "ous") for _ in range(1 + i % 5))
+    docs = spark.createDataFrame([(i, text) for i in range(3)], "doc_id long, text string")
+    whole = lm.fit(docs)
+    monkeypatch.setattr(lm, "TOP", 1)
+    few = lm.fit(docs)
+    of = lambda m: {(int(w), int(p), int(c)) for w, p, c in zip(m.top, m.member, m.counts) if p}
+    assert of(few) == of(whole) and len(of(few)) > 4 and few.rest_n.tolist() == whole.rest_n.tolist()
+    assert len(few.top) < len(whole.top)
