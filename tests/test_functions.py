@@ -1,6 +1,7 @@
 """Lexical, hash and similarity functions against hand-computed values."""
 
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -137,3 +138,37 @@ def test_long_subsequences_and_one_comparison_a_square(monkeypatch):
     tile = structure._pair_scores(t, np.arange(6), np.arange(6))
     assert tile(slice(0, 3), slice(3, 6))[2].tolist() == [[0.5] * 3] * 3 and tile(slice(0, 3), slice(0, 3))[2].tolist() == [[1.0] * 3] * 3
     assert asked == [(2, 2)]
+
+
+def test_equal_shapes_are_scored_once(monkeypatch):
+    """In all tiles of a square: copies of a shape take no score of their own, a shape with another vector does."""
+    import pyarrow as pa
+
+    scored = []
+    plain = structure._pair_scores
+
+    def counting(t, left, right):
+        tile = plain(t, left, right)
+        return lambda x, y: scored.append((x.stop - x.start) * (y.stop - y.start)) or tile(x, y)
+
+    monkeypatch.setattr(structure, "_pair_scores", counting)
+    letter = lambda *x: "".join(chr(65 + structure._NUMBERS[i]) for i in x)
+    rows = [(letter("LOOP", "CALL"), [1.0] * 9)] * 700 + [(letter("LOOP", "CALL"), [1.0] * 8 + [2.0])] * 2 + [("", [0.0] * 9)]
+    t = pa.table({"code": [r[0] for r in rows], "vec": [r[1] for r in rows]})
+    tile = structure._shape_scores(t, np.arange(703), np.arange(703))
+    seqs = [["LOOP", "CALL"]] * 702 + [[]]
+    whole = plain(pa.table({"seq": pa.array(seqs, pa.list_(pa.string())), "vec": [r[1] for r in rows]}), np.arange(703), np.arange(703))
+    for x, y in itertools.product((slice(0, 512), slice(512, 703)), repeat=2):
+        assert (tile(x, y)[0] == whole(x, y)[3]).all()
+    assert sum(scored) == 9
+
+
+def test_subsequences_by_blocks_and_one_by_one(monkeypatch):
+    """A long sequence does not make a block of hundreds of short ones take its steps; both ways give the same lengths."""
+    steps, plain = [], structure._lcs_words
+    monkeypatch.setattr(structure, "_lcs_words", lambda a, b, *more: steps.append(max(map(len, b))) or plain(a, b, *more))
+    rng = np.random.default_rng(5)
+    a, b = ([rng.integers(0, 4, k) for k in rng.integers(50, 120, n)] + [rng.integers(0, 4, 1900)] for n in (150, 300))
+    got = structure.lcs_matrix(a, b, 4)
+    assert got.tolist() == [structure._lcs_long(x, b, 4) for x in a]
+    assert steps and max(steps) < 120

@@ -349,3 +349,22 @@ def test_token_pairs_are_squares(spark):
     assert "FlatMapGroupsInArrow" in df._jdf.queryExecution().optimizedPlan().toString()
     got = {(r["file_1"], r["file_2"]): r["S_token"] for r in df.collect()}
     assert len(got) == 6 and got["a", "b"] == pytest.approx(4 / 7) and got["a", "c"] == got["c", "d"] == 0
+
+
+def test_files_alike_meet_in_one_square(spark):
+    """Each two values of alike meet in one square; the files of a value that most have are in many blocks, and all pairs are there."""
+    n = 6000
+    rows = spark.range(n).select(F.lit("p").alias("problem"), F.col("id").cast("string").alias("file"), F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 499 + 1).alias("kind"))
+
+    def measure(t, left, right):
+        kind = t.column("kind").to_numpy()
+        first = [int(t.column("file")[int(side[0])].as_py()) for side in (left, right)]
+        square = float(first[0] * n + first[1])
+        return lambda x, y: [np.full((len(left[x]), len(right[y])), square), np.broadcast_to(kind[left[x]][:, None], (len(left[x]), len(right[y]))), np.broadcast_to(kind[right[y]][None], (len(left[x]), len(right[y])))]
+
+    for same in (False, True):
+        got = pairs.squares(rows, measure, ["square", "k", "l"], same, alike=F.xxhash64("kind"))
+        met = got.groupBy(F.least("k", "l").alias("k"), F.greatest("k", "l").alias("l")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("square").alias("squares")).collect()
+        assert sum(r["n"] for r in met) == n * (n - 1) // 2
+        assert all(r["squares"] == 1 for r in met if r["k"] > 0)
+        assert max(r["squares"] for r in met if r["k"] == r["l"] == 0) > 50
