@@ -368,3 +368,20 @@ def test_files_alike_meet_in_one_square(spark):
         assert sum(r["n"] for r in met) == n * (n - 1) // 2
         assert all(r["squares"] == 1 for r in met if r["k"] > 0)
         assert max(r["squares"] for r in met if r["k"] == r["l"] == 0) > 50
+
+
+def test_squares_fetch_their_blocks(spark):
+    """All pairs of vectors: no file is copied for each square; rows are those of plain pairs, and none of no or one vector."""
+    import itertools
+
+    n, rng = 600, np.random.default_rng(7)
+    values = rng.random((n, 64))
+    v = spark.createDataFrame([(f"p{i % 3}", f"f{i}", x.tolist()) for i, x in enumerate(values)], "problem string, file string, v array<double>")
+    got = embed.pair_measures(v, block_rows=60)
+    assert got.count() == n * (n - 1) // 2
+    keys = {(f"p{i % 3}", f"f{i}"): x for i, x in enumerate(values)}
+    some = {tuple(r)[:4]: r["unixcoder_l2"] for r in got.where("file_1 in ('f1', 'f2', 'f599') and file_2 in ('f1', 'f2', 'f599')").collect()}
+    assert some == {(*x, *y): pytest.approx(float(np.linalg.norm(keys[x] - keys[y]))) for x, y in itertools.combinations(sorted(k for k in keys if k[1] in ("f1", "f2", "f599")), 2)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+    assert embed.pair_measures(v.where("false")).count() == 0 and embed.pair_measures(v.limit(1)).count() == 0
