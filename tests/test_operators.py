@@ -385,3 +385,12 @@ def test_squares_fetch_their_blocks(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Generate" not in plan
     assert embed.pair_measures(v.where("false")).count() == 0 and embed.pair_measures(v.limit(1)).count() == 0
+
+
+def test_trigram_cosines_fetch_their_blocks(spark):
+    """Bags are not copied for each square either, and the pairs with a key in common are all there."""
+    rows = spark.createDataFrame([("p", f"f{i}", f"k{k}", 1.0 + i % 3) for i in range(40) for k in (i % 5, 5 + i % 2)], "problem string, file string, key string, w double")
+    got = pairs.shared_cosine(rows, "s", 9)
+    assert got.count() == sum(i % 5 == j % 5 or i % 2 == j % 2 for i in range(40) for j in range(i))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
