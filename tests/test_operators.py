@@ -394,3 +394,37 @@ def test_trigram_cosines_fetch_their_blocks(spark):
     assert got.count() == sum(i % 5 == j % 5 or i % 2 == j % 2 for i in range(40) for j in range(i))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Generate" not in plan
+
+
+def test_dice_of_many_copies_is_exact():
+    """Copies of a key are compared as a number and not one by one; sums beyond 2^24 are exact, few and many copies of keys add up."""
+    import pyarrow as pa
+
+    n = 2**24
+    bags = [{1: n + 3, 2: 2, 3: 1}, {1: n + 1, 2: 9, 4: 7}, {}, {4: 5, 3: 4}]
+    t = pa.table({"keys": [list(b) for b in bags], "ws": pa.array([[float(w) for w in b.values()] for b in bags], pa.list_(pa.float64()))})
+    (got,) = pairs._dice(t, np.arange(4), np.arange(4))(slice(0, 4), slice(0, 4))
+    for i, a in enumerate(bags):
+        for j, b in enumerate(bags):
+            both = sum(a.values()) + sum(b.values())
+            assert got[i, j] == (2 * sum(min(w, b.get(k, 0)) for k, w in a.items()) / both if both else 0)
+
+
+def test_equal_subtrees_of_a_file_are_hashed_once(monkeypatch):
+    import hashlib
+
+    import pyarrow as pa
+
+    class Files:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    hashed, real = [], hashlib.md5
+    monkeypatch.setattr(hashlib, "md5", lambda x: hashed.append(x) or real(x))
+    batch = pa.RecordBatch.from_arrays([pa.array([x]) for x in ("p", "f", "f(a){b[1];}" * 400)], names=["problem", "file", "code"])
+    (got,) = ast.tree_bags(Files())([batch])
+    # unit, identifier, list, block, subscript, number, ;
+    assert len(hashed) == got.num_rows == 7 and sum(got.column("w").to_pylist()) == 1 + 400 * 8
